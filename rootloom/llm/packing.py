@@ -30,7 +30,7 @@ CAPACITY, END = 1024, 2
 #: Pieces of one length that one task ranks, about.
 RANK_ROWS = 200_000
 #: Pairs of patterns that the search looks at, at most: a limit of effort, no piece is left out.
-SEARCH = 200_000
+SEARCH = 6_000
 
 
 def _tokenizer(path: str | None):
