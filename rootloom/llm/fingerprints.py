@@ -1,7 +1,7 @@
 """Document fingerprints: 128-bit SimHash, and permuted block tables for all fingerprints in a Hamming radius.
 
-Terms are lower-cased words and pairs of adjacent words; a term counts sqrt of its frequency, a pair three times as much
-as a word, and its hash votes on signed bits.  For the search a fingerprint is cut into radius + 2 blocks; if two
+Terms are lower-cased words and pairs of adjacent words; each occurrence votes, a pair with
+three times a word's weight, and the votes are signed: for a bit that the term's hash sets, against one that it does not.  For the search a fingerprint is cut into radius + 2 blocks; if two
 differ in at most `radius` bits, two blocks at least agree, so with a table for every pair of blocks (ten for radius 3,
 keys of 51 bits or so) no neighbour is missed.  Keys are joined and each pair is verified in the first table in which
 it meets.  Searches take query rows against all rows; equal fingerprints are one row with a count.
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -28,54 +27,52 @@ from pyspark.sql import functions as F
 
 from .common import prepare, row_map, stored
 
-BITS, RADIUS, PAIR_WEIGHT = 128, 3, 3.0
+BITS, RADIUS, PAIR_WEIGHT = 128, 3, 3
 #: Ranges of ids; a range is one sorted run of a task.  Rows of a range, about, where the table is large.
 RANGES, RANGE_ROWS = 64, 20_000
 _WORD = re.compile(r"\w+")
 
 
-class Hasher:
-    """Term -> 128 votes, kept for frequent terms."""
+class _Hashes(dict):
+    """Word -> XXH64, kept while they are few."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) > 200_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
 
-    def __init__(self, keep: int = 60_000):
-        self.seen: dict[object, int] = {}
-        self.keep = keep
-        self.bits = np.zeros((keep, BITS), np.int8)
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How many of the terms set each of the 128 bits."""
+    total = np.zeros(BITS, np.int64)
+    for i in range(0, len(h), 4096):
+        part = h[i : i + 4096]
+        both = np.stack([_mix(part), _mix(part ^ np.uint64(0x9E3779B97F4A7C15))], axis=1).astype("<u8")
+        total += np.add.reduce(np.unpackbits(both.view(np.uint8), axis=1), axis=0, dtype=np.uint16)
+    return total
+
+
+class Hasher:
+    def __init__(self):
+        self.hash = _Hashes()
 
     def fingerprint(self, text: str | None) -> int:
         words = _WORD.findall((text or "").lower())
         if not words:
             return 0
-        import xxhash
-
-        h = xxhash.xxh3_128_digest
-        one, two = Counter(words), Counter(zip(words, words[1:], strict=False))
-        new = [k for k in one if k not in self.seen]
-        if len(self.seen) + len(new) > self.keep:
-            self.seen.clear()
-            new = list(one)
-        if len(new) <= self.keep:
-            if new:
-                at = len(self.seen)
-                raw = np.frombuffer(b"".join([h(k.encode("utf-8", "surrogatepass")) for k in new]), np.uint8).reshape(-1, 16)
-                self.bits[at : at + len(new)] = np.unpackbits(raw, axis=1).astype(np.int8) * 2 - 1
-                self.seen.update(zip(new, range(at, at + len(new)), strict=True))
-            rows = self.bits[np.fromiter(map(self.seen.__getitem__, one), np.int64, len(one))]
-            total = np.sqrt(np.fromiter(one.values(), np.float32, len(one))) @ rows.astype(np.float32)
-        else:
-            total = _votes([k.encode("utf-8", "surrogatepass") for k in one], np.fromiter(one.values(), np.float32, len(one)), h)
-        if two:
-            total = total + PAIR_WEIGHT * _votes([f"{a} {b}".encode("utf-8", "surrogatepass") for a, b in two], np.fromiter(two.values(), np.float32, len(two)), h)
-        return int.from_bytes(np.packbits(total > 0).tobytes(), "big")
-
-
-def _votes(terms: list[bytes], n: np.ndarray, h) -> np.ndarray:
-    total, w = np.zeros(BITS, np.float64), np.sqrt(n)
-    for i in range(0, len(terms), 4096):
-        raw = np.frombuffer(b"".join([h(k) for k in terms[i : i + 4096]]), np.uint8).reshape(-1, 16)
-        part = w[i : i + 4096]
-        total += 2 * (part @ np.unpackbits(raw, axis=1).astype(np.float32)) - part.sum()
-    return total
+        one = np.fromiter(map(self.hash.__getitem__, words), np.uint64, len(words))
+        two = one[:-1] * np.uint64(3) + (one[1:] ^ (one[1:] >> np.uint64(17)))
+        votes = 2 * (_ones(one) + PAIR_WEIGHT * _ones(two)) - (len(one) + PAIR_WEIGHT * len(two))
+        return int.from_bytes(np.packbits(votes > 0).tobytes(), "big")
 
 
 def likeness(a: int, b: int) -> float:
