@@ -361,7 +361,7 @@ def exact_or_neighbour(spark, sf):
     return align.exact_or_neighbour(q.filter("flag <> 'R'"), q.filter("flag <> 'A'")).select("insn", "other_insn", "other_idx")
 
 
-@query(f"WITH {QUADS}, l AS ({_L}), r AS ({_R}) SELECT l.insn, r.insn AS other_insn FROM l LEFT JOIN r ON l.file = r.file AND l.line = r.line AND l.total = r.total AND l.idx = r.idx")
+@query(f"WITH {QUADS}, l AS ({_L}), r AS ({_R}) SELECT a.insn, r.insn AS other_insn FROM l a LEFT JOIN l ON l.insn = a.insn LEFT JOIN r ON l.file = r.file AND l.line = r.line AND l.total = r.total AND l.idx = r.idx")
 def translate_insn(spark, sf):
     q = quads(spark, sf)
     left = q.filter("flag <> 'R'")
@@ -482,9 +482,9 @@ def symptom_weight_norm(spark, sf):
     return profile.normalise(tr.groupBy(F.col("tid").alias("insn")).agg(F.sum("value").alias("weight")), n).select("insn", F.round("weight", 4).alias("weight"))
 
 
-@query(f"WITH {QUADS} SELECT insn, row_number() OVER (PARTITION BY file, line ORDER BY insn) AS index, row_number() OVER (PARTITION BY file ORDER BY insn) - 1 AS ordinal, count(*) OVER (PARTITION BY file) AS n FROM q")
+@query(f"WITH {QUADS}, u AS (SELECT insn, file, min(line) AS line FROM q GROUP BY insn, file) SELECT insn, row_number() OVER (PARTITION BY file, line ORDER BY insn) AS index, row_number() OVER (PARTITION BY file ORDER BY insn) - 1 AS ordinal, count(*) OVER (PARTITION BY file) AS n FROM u")
 def block_index_per_line(spark, sf):
-    q = quads(spark, sf).select("insn", F.col("file").alias("bb"), F.col("line").alias("line_key"))
+    q = quads(spark, sf).groupBy("insn", F.col("file").alias("bb")).agg(F.min("line").alias("line_key"))
     return align.ordinal(align.index_in_block(q), ["bb"], 0).select("insn", F.col("index").cast("long").alias("index"), F.col("ordinal").cast("long").alias("ordinal"), "n")
 
 
