@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -220,12 +221,16 @@ def test_trigram_queries():
 # ---- packing
 
 
-def tokens(text):
+@lru_cache
+def whole_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = tokens.__dict__.setdefault("t", Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
-    return [*t.encode(text or "", add_special_tokens=False).ids, 2]
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def tokens(text):
+    return [*whole_tokenizer().encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def test_word_ids_equal_the_tokenizers():
