@@ -1,11 +1,13 @@
 """Every catalogued query against its SQL in DuckDB."""
 
+import os
+
 import duckdb
 import pytest
 
 from rootloom.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
