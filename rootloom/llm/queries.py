@@ -30,5 +30,28 @@ def queries() -> dict:
     }
 
 
+#: Payloads below 1000 bytes are never revisits.
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM top AND top IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM top AND top IS NOT NULL THEN top END AS refers_to
+FROM t
+"""
+
+DECONTAMINATION_SQL = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark WHERE text IS NOT NULL),
+v AS (SELECT item_id, ws, least(len(ws), 5) AS k FROM i WHERE len(ws) > 0),
+w AS (SELECT DISTINCT k FROM v),
+s AS (SELECT DISTINCT item_id, k, unnest([array_to_string(ws[j : j + k - 1], ' ') FOR j IN range(1, len(ws) - k + 2)]) AS h FROM v),
+q AS (SELECT item_id, count(*) AS n_item FROM s GROUP BY item_id),
+e AS (SELECT DISTINCT doc_id, k, unnest([array_to_string(ws[j : j + k - 1], ' ') FOR j IN range(1, len(ws) - k + 2)]) AS h FROM d, w WHERE len(ws) >= k),
+m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM e JOIN s USING (k, h) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM m JOIN q USING (item_id) WHERE n_shared >= 0.8 * n_item - 1e-9
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_warc": WARC_SQL, "op8_decontamination": DECONTAMINATION_SQL}
