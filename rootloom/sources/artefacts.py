@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import from_hex, parse_expression
 
-QUAD = "file string, line int, total_count int, index int"
-RELATION = "prop double, ratio long, mu double, std double"
+#: A relation one way: an invariant one has a ratio and a proportion, another the counts it was found from.
+RELATION = "struct<is_invariant:boolean,ratio:double,conditional_proportion:double,distribution:array<double>,weighted_distribution:array<double>>"
+WEIGHT = "struct<actual_weight:double,base_weight:double,perc_contrib:double,corr:double,order:double>"
+UNKNOWN = "??"
 
 
 def _lines(spark: SparkSession, path: str, skip_empty: bool = True) -> DataFrame:
@@ -30,39 +32,77 @@ def node_info(spark: SparkSession, path: str) -> DataFrame | None:
     return _lines(spark, path).select(from_hex(s[0]).alias("insn"), s[1].cast("long").alias("value"))
 
 
-def index_quads(spark: SparkSession, path: str) -> DataFrame:
-    """JSON array of [file, line, total_count, index]."""
-    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<array<string>>")).alias("q")).select(F.col("q")[0].alias("file"), F.col("q")[1].cast("int").alias("line"), F.col("q")[2].cast("int").alias("total"), F.col("q")[3].cast("int").alias("idx"))
+def _quad(q):
+    """struct(file, line, idx, total) of a quad [file, line, index, total_count], read as strings."""
+    return F.struct(q[0].alias("file"), q[1].try_cast("int").alias("line"), q[2].try_cast("int").alias("idx"), q[3].try_cast("int").alias("total"))
 
 
-def relation_groups(spark: SparkSession, path: str) -> DataFrame:
-    """Portable relation groups: one row a relation; those of an unknown file go; both spellings of the instruction list are read."""
-    schema = f"index_quad struct<{_ddl(QUAD)}>, weight double, predes array<struct<{_ddl(QUAD)}>>, predes_insns array<long>, prede_insns array<long>, relations array<struct<forward struct<{_ddl(RELATION)}>, backward struct<{_ddl(RELATION)}>, weight double, timestamp double>>"
-    g = spark.read.schema(schema).option("multiLine", "true").json(path)
-    n = F.size("predes")
-    g = g.withColumn("_ok", F.when(n == F.size("relations"), True).otherwise(F.raise_error(F.lit("predes and relations differ in length")))).filter("_ok")
-    insns = F.coalesce("predes_insns", "prede_insns", F.transform("predes", lambda _: F.lit(None).cast("long")))
-    rows = g.select(F.col("index_quad").alias("symptom"), F.col("weight").alias("group_weight"), F.posexplode(F.arrays_zip(F.col("predes").alias("prede"), insns.alias("insn"), F.col("relations").alias("relation"))).alias("pos", "z"))
-    return rows.select("symptom", "group_weight", "pos", "z.prede", "z.insn", "z.relation").filter((F.col("prede.file") != "??") & (F.col("symptom.file") != "??"))
+def index_quads(spark: SparkSession, path: str) -> DataFrame | None:
+    """JSON array of [file, line, index, total_count] to (pos, file, line, idx, total); None if the file is not there."""
+    if not _exists(spark, path):
+        return None
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<array<string>>")).alias("pos", "q"))
+    return rows.select("pos", _quad(F.col("q")).alias("q")).select("pos", "q.*")
+
 
+def relation_groups(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Portable relation groups, a JSON list or (lines) an object a line: one row a relation, with its group.
 
-def _ddl(fields: str) -> str:
-    return ", ".join(":".join(f.strip().split(" ", 1)) for f in fields.split(","))
+    Row `pos` pairs predecessor and relation, whose lists must be equally long; predecessors of an unknown file go.
+    A group without relations has no rows.
+    """
+    relation = f"struct<weight:{WEIGHT},forward:{RELATION},backward:{RELATION},timestamp:double,insn:long,func:string,duplicate:boolean>"
+    schema = f"starting_node array<string>, use_weight boolean, weight double, insn long, predes array<array<string>>, predes_insns array<string>, prede_insns array<string>, wavefront array<array<string>>, relations array<{relation}>"
+    g = spark.read.schema(schema).option("multiLine", str(not lines).lower()).json(path)
+    n = F.size(F.coalesce("predes", F.array().cast("array<array<string>>")))
+    even = F.when(n == F.size("relations"), F.col("predes")).otherwise(F.raise_error(F.lit("predes and relations differ in length")))
+    insns = F.coalesce("predes_insns", "prede_insns", F.transform("predes", lambda _: F.lit(None).cast("string")))
+    g = g.filter(F.col("relations").isNotNull()).withColumn("predes", even)
+    rows = g.select(
+        _quad(F.col("starting_node")).alias("symptom"), "insn", "use_weight", F.col("weight").alias("group_weight"), F.transform("wavefront", _quad).alias("wavefront"),
+        F.posexplode(F.arrays_zip(F.col("predes").alias("prede"), insns.alias("prede_insn"), F.col("relations").alias("relation"))).alias("pos", "z"),
+    ).filter(~F.array_contains("z.prede", UNKNOWN))
+    return rows.select("symptom", "insn", "use_weight", "group_weight", "wavefront", "pos", _quad(F.col("z.prede")).alias("prede"), from_hex(F.col("z.prede_insn")).alias("prede_insn"), "z.relation")
 
 
-def full_relation_groups(spark: SparkSession, path: str) -> DataFrame:
-    """Relation groups with their lists of relations, keyed by instruction."""
-    schema = f"insn long, weight double, relations array<struct<prede long, prede_count long, forward struct<{_ddl(RELATION)}>, backward struct<{_ddl(RELATION)}>, timestamp double, file string, lines array<int>, duplicate boolean>>"
+def _place(text):
+    """(insn, func) of `insn@func`."""
+    return F.substring_index(text, "@", 1).try_cast("long"), F.regexp_extract(text, "^[^@]*@([^@]*)", 1)
+
+
+def full_relation_groups(spark: SparkSession, path: str) -> DataFrame | None:
+    """JSON list of relation groups by `insn@func`: one row a relation; None if the file is not there."""
+    if not _exists(spark, path):
+        return None
+    relation = f"struct<target_node:string,prede_node:string,prede_count:long,weight:{WEIGHT},forward:{RELATION},backward:{RELATION},lines:array<int>,file:string,timestamp:double,duplicate:boolean>"
+    schema = f"starting_node string, weight double, finished boolean, lines array<int>, file string, use_weight boolean, relations array<{relation}>"
     g = spark.read.schema(schema).option("multiLine", "true").json(path)
-    return g.select("insn", "weight", F.posexplode("relations").alias("pos", "r")).select("insn", "weight", "pos", "r.*")
+    (insn, func), (prede, prede_func) = _place(F.col("starting_node")), _place(F.col("r.prede_node"))
+    rows = g.select(insn.alias("insn"), func.alias("func"), F.col("weight").alias("group_weight"), "finished", F.coalesce("use_weight", F.lit(False)).alias("use_weight"), F.posexplode("relations").alias("pos", "r"))
+    return rows.select("insn", "func", "group_weight", "finished", "use_weight", "pos", prede.alias("prede_insn"), prede_func.alias("prede_func"), "r.prede_count", "r.weight", "r.forward", "r.backward", "r.lines", "r.file", "r.timestamp", F.coalesce("r.duplicate", F.lit(False)).alias("duplicate"))
 
 
-NODE = "id long, insn long, function string, bb long, is_cf boolean, is_df boolean, cf_predes array<long>, cf_succes array<long>, df_predes array<long>, df_succes array<long>, mem_load struct<reg:string,shift:long,off:long,off_reg:string,off1:long,is_bit_var:boolean,read_same_as_write:boolean>, mem_store struct<reg:string,shift:long,off:long,off_reg:string,off1:long,is_bit_var:boolean,read_same_as_write:boolean>, reg_load string, reg_store string, backedge_sources array<long>, file string, line int, index int, total_count int, explained boolean"
+ACCESS = "struct<reg:string,shift:long,off:long,off1:long,off_reg:string,is_bit_var:boolean,read_same_as_write:int>"
+NODE = (
+    "struct<id:long,insn:long,function:string,explained:boolean,is_cf:boolean,is_df:boolean,bb:long,lines:array<int>,cf_predes:array<long>,cf_succes:array<long>,df_predes:array<long>,df_succes:array<long>,"
+    f"mem_load:{ACCESS},mem_store:{ACCESS},reg_load:string,reg_store:string,node_backedge_targets:array<long>,node_backedge_sources:array<long>,group_ids:array<long>,group_insns:array<long>,is_intermediate_node:boolean,"
+    "file:string,line:int,caller_files:array<array<string>>,index:int,total_count:int>"
+)
 
 
 def static_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges(src, dst, kind)): id lists become rows, and edges of ids that no node has go."""
-    nodes = spark.read.schema(NODE).option("multiLine", "true").json(path).dropDuplicates(["id"])
+    """(nodes, edges(src, dst, kind)) of a static graph's JSON envelope.
+
+    Nodes of all functions and pending ones that no block has been found for (pending); of an id that both have, the
+    function's holds.  Id lists become rows, and edges of ids that no node has go.
+    """
+    schema = f"out_result array<struct<func:string,id_to_node:array<{NODE}>>>, out_pending array<struct<func:string,nodes:array<{NODE}>>>"
+    doc = spark.read.schema(schema).option("multiLine", "true").json(path)
+    own = doc.select(F.explode("out_result").alias("g")).select("g.func", F.explode("g.id_to_node").alias("n"), F.lit(False).alias("pending"))
+    late = doc.select(F.explode("out_pending").alias("g")).select("g.func", F.explode("g.nodes").alias("n"), F.lit(True).alias("pending")).filter("n.bb is null")
+    nodes = own.union(late).groupBy("n.id").agg(F.min_by(F.struct("func", "pending", "n"), "pending").alias("x")).select("x.func", "x.pending", "x.n.*")
+    for c in ("mem_load", "mem_store"):
+        nodes = nodes.withColumn(c, F.when(F.col(c).isNotNull(), F.col(c).withField("read_same_as_write", F.col(f"{c}.read_same_as_write") != 0)))
     parts = None
     for kind in ("cf", "df"):
         for col, back in ((f"{kind}_predes", True), (f"{kind}_succes", False)):
@@ -75,10 +115,14 @@ def static_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def dynamic_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of an execution graph."""
-    schema = "id long, static_node long, thread_id long, mem_load_addr long, mem_store_addr long, weight double, is_valid_weight boolean, is_aggregate_weight boolean, cf_predes array<long>, df_predes array<long>"
-    nodes = spark.read.schema(schema).option("multiLine", "true").json(path)
+    """(nodes, edges(src, dst, kind)) of an execution graph's JSON envelope; nodes have is_entry, is_exit and is_target."""
+    node = "struct<id:long,insn_id:long,func:string,static_node:long,weight:double,is_valid_weight:boolean,is_aggregate_weight:boolean,cf_predes:array<long>,df_predes:array<long>,mem_load_addr:long,mem_store_addr:long,load_bit_mask:long,remaining_load_bit_mask:long,store_bit_mask:long,bit_ops:map<string,long>,input_sets:map<string,long>,output_set_count:long,output_weight:double,thread_id:int>"
+    doc = spark.read.schema(f"dynamic_nodes array<{node}>, entry_nodes array<long>, exit_nodes array<long>, target_nodes array<long>").option("multiLine", "true").json(path)
+    nodes = doc.select(F.explode("dynamic_nodes").alias("n")).select("n.*")
     edges = nodes.select(F.explode("cf_predes").alias("src"), F.col("id").alias("dst"), F.lit("cf").alias("kind")).union(nodes.select(F.explode("df_predes"), "id", F.lit("df")))
+    for name in ("entry", "exit", "target"):
+        marked = doc.select(F.explode(f"{name}_nodes").alias("id")).distinct().withColumn("_m", F.lit(True))
+        nodes = nodes.join(marked, "id", "left").withColumn(f"is_{name}", F.col("_m").isNotNull()).drop("_m")
     return nodes.drop("cf_predes", "df_predes"), edges
 
 
@@ -103,8 +147,9 @@ def insn_list(spark: SparkSession, path: str) -> DataFrame:
 
 def profile(spark: SparkSession, path: str) -> DataFrame:
     """Profiler report: (pos, pct, func); comments, blank lines, missing symbols and unknown objects go; a function's last line wins."""
-    df = _lines(spark, path).filter(~F.trim("value").startswith("#") & ~F.col("value").contains("continuing without symbols") & ~F.col("value").contains("[unknown]"))
+    df = _lines(spark, path).filter(~F.trim("value").startswith("#") & ~F.col("value").contains("continuing without symbols"))
     s = F.split(F.trim("value"), r"\s+")
+    df = df.filter(F.get(s, F.lit(2)) != "[unknown]")
     df = df.select("pos", F.regexp_replace(s[0], "%", "").try_cast("double").alias("pct"), F.element_at(s, -1).alias("func")).filter("pct is not null")
     return df.groupBy("func").agg(F.max_by("pct", "pos").alias("pct"), F.max("pos").alias("pos"))
 
@@ -118,20 +163,19 @@ def symbols(spark: SparkSession, path: str) -> DataFrame:
 def disassembly(spark: SparkSession, path: str) -> DataFrame:
     """(addr, next_addr, text): the text starts after as many byte tokens as the next address is away; the last instruction has none and is left out."""
     rows = _lines(spark, path).filter(F.col("value").rlike(r"^\s*[0-9a-f]+:\s"))
-    rows = rows.select("pos", F.input_file_name().alias("f"), from_hex(F.trim(F.substring_index("value", ":", 1))).alias("addr"), F.split(F.trim(F.regexp_replace("value", r"^\s*[0-9a-f]+:", "")), r"\s+").alias("tokens"))
+    rows = rows.select("pos", F.input_file_name().alias("f"), from_hex(F.trim(F.substring_index("value", ":", 1))).alias("addr"), F.split(F.regexp_replace("value", r"^\s*[0-9a-f]+:\s*|\s+$", ""), r"\s+").alias("tokens"))
     rows = rows.withColumn("next_addr", F.lead("addr").over(Window.partitionBy("f").orderBy("pos"))).filter("next_addr is not null")
     n = (F.col("next_addr") - F.col("addr")).cast("int")
     return rows.select("addr", "next_addr", F.array_join(F.slice("tokens", n + 1, F.greatest(F.size("tokens") - n, F.lit(0))), " ").alias("text"))
 
 
-def config(path: str) -> dict[str, str]:
-    """`k=v` lines; # starts a comment."""
+def config(spark: SparkSession, path: str) -> dict[str, str]:
+    """`k=v` lines; # starts a comment; a later line wins.  A file of settings, so its lines come to the driver."""
     out = {}
-    with open(path) as f:
-        for line in f:
-            k, eq, v = line.split("#")[0].partition("=")
-            if eq:
-                out[k.strip()] = v.strip()
+    for row in _lines(spark, path).orderBy("pos").collect():
+        k, eq, v = row["value"].split("#")[0].partition("=")
+        if eq:
+            out[k.strip()] = v.strip()
     return out
 
 

@@ -21,11 +21,26 @@ def write_pass_counts(counts: DataFrame, path: str) -> None:
     counts.select(F.concat_ws(" ", F.lower(F.hex("branch")), F.lower(F.hex("target")), F.col("n").cast("string")).alias("value")).write.mode("overwrite").text(path)
 
 
+def _quad_json(q):
+    """JSON text of the quad [file, line, index, total_count]: a list of mixed types, which a column cannot be."""
+    number = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    name = F.regexp_extract(F.to_json(F.struct(F.coalesce(q["file"], F.lit("")).alias("f"))), r'(?s)^\{"f":(.*)\}$', 1)
+    return F.concat(F.lit("["), F.concat_ws(",", name, number(q["line"]), number(q["idx"]), number(q["total"])), F.lit("]"))
+
+
 def write_relation_groups(relations: DataFrame, path: str) -> None:
-    """relations(symptom, group_weight, pos, prede, insn, relation) as JSON documents, heaviest group first."""
-    g = relations.groupBy("symptom", "group_weight").agg(F.array_sort(F.collect_list(F.struct("pos", "prede", "insn", "relation"))).alias("r"))
-    docs = g.select(F.col("symptom").alias("index_quad"), F.col("group_weight").alias("weight"), F.transform("r", lambda x: x["prede"]).alias("predes"), F.transform("r", lambda x: x["insn"]).alias("predes_insns"), F.transform("r", lambda x: x["relation"]).alias("relations"))
-    docs.orderBy(F.desc("weight")).write.mode("overwrite").json(path)
+    """Relations as read by relation_groups() to JSON, an object a line, heaviest group first."""
+    keys = ["symptom", "insn", "use_weight", "group_weight", "wavefront"]
+    g = relations.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "prede", "prede_insn", "relation"))).alias("r"))
+    quads = lambda c, of: F.concat(F.lit("["), F.array_join(F.transform(c, of), ","), F.lit("]"))
+    insns = F.transform("r", lambda x: F.concat(F.lit("0x"), F.lower(F.hex(x["prede_insn"]))))
+    rest = F.to_json(F.struct("use_weight", F.col("group_weight").alias("weight"), "insn", insns.alias("predes_insns"), F.transform("r", lambda x: x["relation"]).alias("relations")), {"ignoreNullFields": "false"})
+    head = F.concat(
+        F.lit('{"starting_node":'), _quad_json(F.col("symptom")), F.lit(',"predes":'), quads("r", lambda x: _quad_json(x["prede"])),
+        F.lit(',"wavefront":'), F.coalesce(quads("wavefront", _quad_json), F.lit("[]")), F.lit(","),
+    )
+    docs = g.withColumn("_rest", rest).withColumn("_head", head).orderBy(F.desc("group_weight")).select(F.concat("_head", F.substring("_rest", 2, 1 << 30)).alias("value"))
+    docs.write.mode("overwrite").text(path)
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:

@@ -2,7 +2,8 @@
 
 Raw files are read from their end, since a record's payload precedes its code: [reg u64][code u16], or a thread mark
 [tid u8][0 u16].  uid rises from the end of the file, marks included.  Parsed files run forward: [code u16][uid i64] and
-[reg i64] for codes with a register.  A record's width depends on its code, so a file is one task; a directory of files is
+[reg i64] for codes with a register; code 0 alone is a mark, whose thread id (u8) is in the side file (option threads:
+its suffix).  A record's width depends on its code, so a file is one task; a directory of files is
 as many.  Options: path, registers (comma-separated codes with a payload), mode (raw or parsed).
 
 Fixed values: little-endian fields of 8, 2 and 1 bytes.
@@ -15,6 +16,8 @@ import struct
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 BLOCK = 1 << 22
+#: What a parsed file's name and its file of thread ids differ by.
+THREADS = "_thread_ids"
 
 
 class _File(InputPartition):
@@ -54,17 +57,22 @@ def backwards(f, size: int, registers: frozenset):
         uid += 1
 
 
-def forwards(f, registers: frozenset):
-    """(uid, tid, code, reg) of a parsed trace; tid is null: it is in the side file of thread ids."""
-    while head := f.read(10):
-        code, uid = struct.unpack("<Hq", head)
-        if code:
-            yield uid, None, code, struct.unpack("<q", f.read(8))[0] if code in registers else None
+def forwards(f, registers: frozenset, threads: bytes = b""):
+    """(uid, tid, code, reg) of a parsed trace; a mark has no uid, and takes the next of the thread ids; tid is null without them."""
+    marks, tid = iter(threads), None
+    while head := f.read(2):
+        (code,) = struct.unpack("<H", head)
+        if code == 0:
+            tid = next(marks, tid)
+            continue
+        (uid,) = struct.unpack("<q", f.read(8))
+        yield uid, tid, code, struct.unpack("<q", f.read(8))[0] if code in registers else None
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path, self.mode = options["path"], options.get("mode", "raw")
+        self.threads = options.get("threads", THREADS)
         self.registers = frozenset(int(x) for x in options.get("registers", "").split(",") if x.strip())
 
     def partitions(self):
@@ -74,13 +82,16 @@ class _Reader(DataSourceReader):
         info = store.get_file_info(at)
         if info.type == fs.FileType.File:
             return [_File(at)]
-        return [_File(x.path) for x in sorted(store.get_file_info(fs.FileSelector(at)), key=lambda x: x.path) if x.is_file]
+        return [_File(x.path) for x in sorted(store.get_file_info(fs.FileSelector(at)), key=lambda x: x.path) if x.is_file and not x.path.endswith(self.threads)]
 
     def read(self, partition):
         store, _ = _fs(self.path)
-        name = partition.value.rpartition("/")[2]
+        name, threads = partition.value.rpartition("/")[2], b""
+        if self.mode != "raw" and store.get_file_info(side := partition.value + self.threads).is_file:
+            with store.open_input_file(side) as f:
+                threads = f.read()
         with store.open_input_file(partition.value) as f:
-            rows = backwards(f, f.size(), self.registers) if self.mode == "raw" else forwards(f, self.registers)
+            rows = backwards(f, f.size(), self.registers) if self.mode == "raw" else forwards(f, self.registers, threads)
             for uid, tid, code, reg in rows:
                 yield name, uid, tid, code, reg
 
