@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked, stored
+from .common import checked, stored, unused
 
 WIDTH, SIMILARITY = 5, 0.8
 
@@ -88,5 +88,6 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Rows of docs that contain no item."""
-    bad = checked(stored(find(docs, benchmark, similarity).select(F.col("doc_id").alias("_id")).distinct(), "contaminated"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    (name,) = unused(docs, "_id")
+    bad = checked(stored(find(docs, benchmark, similarity).select(F.col("doc_id").alias(name)).distinct(), "contaminated"))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

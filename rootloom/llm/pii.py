@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from .common import prepare, row_map, stored
+from .common import prepare, row_map, stored, unused
 
 KINDS = ("email", "ip", "card", "phone", "context")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -184,14 +184,15 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def _with_extra(docs: DataFrame, found: DataFrame, accepted: DataFrame, limit: int) -> tuple[DataFrame, frozenset | None]:
-    """docs with a column _x (discovered spans of the row, or null), or else the accepted patterns as a set."""
+    """docs with a last column (discovered spans of the row, or null), or else the accepted patterns as a set."""
+    x, i, h = unused(docs, "_x", "_i", "_h")
     accepted = stored(accepted, "pii-accepted")
     few = accepted.limit(limit + 1).collect()
     if len(few) <= limit:
-        return docs.withColumn("_x", F.lit(None).cast("array<struct<s:int,e:int>>")), frozenset(r.p for r in few)
-    extra = found.filter("seed = 0").join(accepted, "p").groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("_x"))
-    extra = extra.select(F.col("doc_id").alias("_i"), F.col("th").alias("_h"), "_x")
-    return docs.join(extra, (F.xxhash64("text") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left").drop("_i", "_h"), None
+        return docs.withColumn(x, F.lit(None).cast("array<struct<s:int,e:int>>")), frozenset(r.p for r in few)
+    extra = found.filter("seed = 0").join(accepted, "p").groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias(x))
+    extra = extra.select(F.col("doc_id").alias(i), F.col("th").alias(h), x)
+    return docs.join(extra, (F.xxhash64("text") == F.col(h)) & F.col("doc_id").eqNullSafe(F.col(i)), "left").drop(i, h), None
 
 
 def _all(text: str, extra, accepted) -> tuple[list, list]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, prepare, row_map, stored
+from .common import checked, prepare, row_map, stored, unused
 
 SAMPLE, THRESHOLD, FOLDS = 20_000, 0.3, 5
 TREES, LEAVES, RATE, BINS, LEAST, L2 = 60, 12, 0.15, 64, 20, 1.0
@@ -198,6 +198,7 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of docs that score at least threshold."""
-    bad = score(docs, labels).filter(F.col("score") < threshold).select(F.col("doc_id").alias("_i"), F.col("th").alias("_h")).distinct()
+    i, h = unused(docs, "_i", "_h")
+    bad = score(docs, labels).filter(F.col("score") < threshold).select(F.col("doc_id").alias(i), F.col("th").alias(h)).distinct()
     bad = checked(stored(bad, "rejected"))
-    return docs.join(bad, (F.xxhash64("text") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left_anti")
+    return docs.join(bad, (F.xxhash64("text") == F.col(h)) & F.col("doc_id").eqNullSafe(F.col(i)), "left_anti")

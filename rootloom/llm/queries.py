@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, fingerprints, language, packing, pii, quality, secrets, simhash_golay, urls, warc
@@ -53,5 +55,32 @@ SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM
 """
 
 
+def _plain(pattern: str) -> str:
+    """The pattern with its ASCII letters in either case spelt out, as RE2 folds some letters beyond ASCII too."""
+    either = lambda m: "(?:" + "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in m[1]) + ")"
+    return re.sub(r"\(\?i:([^)]*)\)", either, pattern)
+
+
+def secrets_sql(rules=secrets.RULES) -> str:
+    """Plain scans with each rule's regex, no index: spans from the lengths of the pieces between matches."""
+    each = []
+    for k, r in enumerate(rules):
+        p = "'" + _plain(r.pattern).replace("'", "''") + "'"
+        total = lambda of: f"coalesce(list_sum(list_transform({of}, lambda x: length(x))), 0)"
+        each.append(f"""
+SELECT rid, {k} AS k, '{r.kind}' AS kind, unnest([{{'s': {total('p[1:i]')} + {total('w[1:i - 1]')}, 'n': length(w[i]), 'g': length(c[i])}} FOR i IN range(1, len(w) + 1)]) AS m
+FROM (SELECT rid, regexp_split_to_array(text, {p}) AS p, regexp_extract_all(text, {p}, 0) AS w, regexp_extract_all(text, {p}, {r.group}) AS c FROM d WHERE regexp_matches(text, {p}))""")
+    least = " ".join(f"WHEN {k} THEN {r.least}" for k, r in enumerate(rules))
+    line = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k)"
+    counts = ", ".join(f"count(*) FILTER (k = {k}) AS n_{rules[k].kind}" for k in range(3))
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({' UNION ALL '.join(each)}),
+spans AS (SELECT rid, k, kind, CAST(m.s AS BIGINT) AS s, CAST(m.s + m.n AS BIGINT) AS e FROM found WHERE m.g >= CASE k {least} END)
+SELECT doc_id, {counts}, sha256(coalesce({line} FILTER (k < 3), '')) AS base_sha256, coalesce({line} FILTER (k >= 0), '') AS spans, count(*) FILTER (k >= 3) AS n_more
+FROM d LEFT JOIN spans USING (rid) GROUP BY rid, doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": WARC_SQL, "op8_decontamination": DECONTAMINATION_SQL}
+    return {"op4_secrets": secrets_sql(), "op7_warc": WARC_SQL, "op8_decontamination": DECONTAMINATION_SQL}

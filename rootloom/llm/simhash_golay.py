@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, prepare, row_map, stored
+from .common import components, prepare, row_map, stored, unused
 
 SEED, WORDS, RADIUS = 42, 3, 2
 WIDTHS = (22, 21, 21)
@@ -158,11 +158,12 @@ def deduplicate(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     keep = found.groupBy(part.alias("c"), F.when(part.isNull(), F.col("fp")).alias("f")).agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.doc_id", "k.th")
     keep = stored(keep.distinct(), "kept")
     cols = docs.columns
-    d = docs.withColumn("_th", F.xxhash64("text"))
-    out = d.join(keep.select(F.col("doc_id").alias("_id"), F.col("th").alias("_h")), (F.col("_th") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    own, i, h = unused(docs, "_th", "_id", "_h")
+    d = docs.withColumn(own, F.xxhash64("text"))
+    out = d.join(keep.select(F.col("doc_id").alias(i), F.col("th").alias(h)), (F.col(own) == F.col(h)) & F.col("doc_id").eqNullSafe(F.col(i)), "left_semi")
     many = found.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(keep, ["doc_id", "th"], "left_semi")
     if many.limit(1).count():
-        out = out.dropDuplicates(["doc_id", "_th"])
+        out = out.dropDuplicates(["doc_id", own])
     return out.select(*cols)
 
 

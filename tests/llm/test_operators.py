@@ -28,7 +28,7 @@ def docs(spark):
 @pytest.fixture(scope="module")
 def odd(spark):
     # extra columns with names that the operators use themselves
-    extra = ["th", "fp", "h", "key", "_g", "kinds", "length"]
+    extra = ["th", "fp", "h", "key", "_g", "kinds", "length", "_i", "_h", "_x", "_th", "_id", "score", "p"]
     df = spark.createDataFrame(ODD, DOCS)
     for c in extra:
         df = df.withColumn(c, F.lit("clash"))
@@ -394,6 +394,8 @@ def test_decontamination(spark, docs):
     assert kept.columns == df.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in df.collect()} - {d for d, _ in want}
     assert decontaminate.find(df, items.limit(0)).count() == 0
+    clash = df.withColumn("_id", F.lit(1)).withColumn("item_id", F.lit(1))
+    assert decontaminate.clean(clash, items).columns == clash.columns
 
 
 # ---- fingerprints
