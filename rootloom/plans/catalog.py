@@ -516,6 +516,175 @@ def relaxed_dedupe(spark, sf):
     return compare.relaxed_dedupe(rows, ["run"])
 
 
+# relations, graphs and searches on stand-in tables
+
+#: An acyclic graph: suppliers' remainders, each with edges to one of the next three.
+DAG = "e AS (SELECT DISTINCT l_suppkey % 12 AS src, l_suppkey % 12 + l_linenumber % 3 + 1 AS dst FROM lineitem)"
+#: Relations of a thread: forward, its events a day; backward, its events of a type; both capped so that all classes occur.
+RELATIONS = """f AS (SELECT user_id AS static, least(count(*), 1 + user_id % 3) AS c FROM events GROUP BY user_id, day(ts)),
+b AS (SELECT user_id AS static, least(count(*), 9 + user_id % 3 * 9) AS c FROM events GROUP BY user_id, event_type),
+fw AS (SELECT static, {klass} AS fwd_class, max(c) AS fwd_ratio FROM f GROUP BY static), bw AS (SELECT static, {klass} AS bwd_class, max(c) AS bwd_ratio FROM b GROUP BY static),
+w AS (SELECT user_id AS static, count(*) AS perc FROM events GROUP BY user_id), rel AS (SELECT * FROM fw JOIN bw USING (static) JOIN w USING (static)),
+se AS (SELECT DISTINCT user_id AS src, user_id + k AS dst FROM events, (VALUES (1), (6)) v(k))""".replace("{klass}", _CLASS)
+#: Relations equal to a successor's.
+_DUP = "EXISTS (SELECT 1 FROM se JOIN rel x ON x.static = se.dst WHERE se.src = rel.static AND x.fwd_class = rel.fwd_class AND x.fwd_ratio = rel.fwd_ratio AND x.bwd_class = rel.bwd_class AND x.bwd_ratio = rel.bwd_ratio)"
+
+
+def _dag(spark, sf):
+    src = F.col("l_suppkey") % 12
+    return _table(spark, sf, "lineitem").select(src.alias("src"), (src + F.col("l_linenumber") % 3 + 1).alias("dst")).distinct()
+
+
+def _relations(spark, sf):
+    """(relations, edges between their statics)."""
+    ev = _table(spark, sf, "events").withColumn("static", F.col("user_id"))
+    capped = lambda key, cap: ev.groupBy("static", key).agg(F.count(F.lit(1)).alias("n")).select("static", F.least(F.col("n"), cap).alias("c"))
+    third = F.col("static") % 3
+    sides = [relate.classes(capped(key, cap), ["static"], prefix=p).select("static", f"{p}class", f"{p}ratio") for key, cap, p in ((F.dayofmonth("ts"), 1 + third, "fwd_"), ("event_type", 9 + third * 9, "bwd_"))]
+    rel = sides[0].join(sides[1], "static").join(ev.groupBy("static").agg(F.count(F.lit(1)).alias("perc")), "static")
+    e = ev.select(F.col("static").alias("src"), F.explode(F.array(F.col("static") + 1, F.col("static") + 6)).alias("dst")).distinct()
+    return rel, e
+
+
+@query(f"WITH {RELATIONS} SELECT static, fwd_class, fwd_ratio, bwd_class, bwd_ratio, perc, {_DUP} AS duplicate FROM rel")
+def duplicate_relations(spark, sf):
+    rel, e = _relations(spark, sf)
+    return relate.duplicates(rel.select("static", "fwd_class", "fwd_ratio", "bwd_class", "bwd_ratio", "perc"), e)
+
+
+@query(f"WITH {RELATIONS} SELECT static, perc FROM rel WHERE (fwd_class = 'variable' OR bwd_class = 'variable') AND NOT {_DUP}")
+def wavefront(spark, sf):
+    return relate.wavefront(relate.duplicates(*_relations(spark, sf)))
+
+
+@query(f"WITH {RELATIONS}, v AS (SELECT *, fwd_class = 'variable' AND bwd_class = 'variable' AS va FROM rel) SELECT static, fwd_class, bwd_class FROM v WHERE NOT (va AND EXISTS (SELECT 1 FROM se JOIN v x ON x.static = se.dst WHERE se.src = v.static) AND NOT EXISTS (SELECT 1 FROM se JOIN v x ON x.static = se.dst WHERE se.src = v.static AND NOT x.va))")
+def variable_chain_trim(spark, sf):
+    return relate.trim_variable_chains(*_relations(spark, sf)).select("static", "fwd_class", "bwd_class")
+
+
+@query(f"WITH {RELATIONS} SELECT static FROM rel WHERE fwd_class IN ('invariant', 'conditional') AND bwd_class IN ('invariant', 'conditional') AND perc = (SELECT count(*) FROM events WHERE user_id = static AND event_type IS NOT NULL)")
+def fully_explained(spark, sf):
+    rel, _ = _relations(spark, sf)
+    counts = _table(spark, sf, "events").filter("event_type is not null").groupBy(F.col("user_id").alias("static")).agg(F.count(F.lit(1)).alias("n"))
+    return relate.fully_explained(rel.withColumn("prede_count", F.col("perc")), counts)
+
+
+@query("SELECT static, perc, corr FROM (SELECT l_suppkey AS static, l_extendedprice AS perc, l_quantity AS corr, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_quantity DESC) AS k FROM lineitem) WHERE k = 1")
+def weight_upsert(spark, sf):
+    return relate.upsert_weights(_table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("static"), F.col("l_extendedprice").alias("perc"), F.col("l_quantity").alias("corr")))
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) WHERE k = 1")
+def first_wins(spark, sf):
+    return relate.first_wins(_table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], "o_orderkey")
+
+
+@query(f"WITH {EV}, k AS (SELECT run, tid, code, sum(CASE WHEN addr > 50 THEN 1 ELSE 0 END) AS n, count(*) AS total FROM ev GROUP BY run, tid, code), r AS (SELECT *, n * 1.0E0 / total AS rate FROM k WHERE n > 0) SELECT a.tid, a.code, round(abs(a.rate - b.rate) * 100, 6) AS impact FROM r a JOIN r b ON a.tid = b.tid AND a.code = b.code AND a.run = 'good' AND b.run = 'bad' WHERE round(abs(a.rate - b.rate) * 100, 6) > 5")
+def pass_rate_impact(spark, sf):
+    tr = trace(spark, sf).withColumn("node", F.concat_ws("/", "run", "tid", "code"))
+    nodes = tr.groupBy("node").agg(F.count(F.lit(1)).alias("total"))
+    counts = tr.groupBy("node", "run", "tid", "code").agg(F.count_if(F.col("addr") > 50).alias("n"))
+    rates = compare.pass_rates(counts, nodes)
+    out = compare.pass_rate_impact(rates.filter("run = 'good'"), rates.filter("run = 'bad'"), ["tid", "code"], 4.9)
+    return _rounded(out.select("tid", "code", "impact")).filter("impact > 5")
+
+
+@query(f"WITH {EV}, g AS (SELECT tid, code, count(*) * 1.0E0 AS perc, max(addr) AS hi FROM ev WHERE run = 'good' GROUP BY tid, code), h AS (SELECT tid, code, count(*) * 1.0E0 AS perc, max(addr) AS hi FROM ev WHERE run = 'bad' GROUP BY tid, code), p AS (SELECT coalesce(g.tid, h.tid) AS node, g.perc AS l, h.perc AS r, coalesce(g.perc = h.perc, false) AS q, coalesce(abs(g.hi - h.hi) < 20, false) AS s FROM g FULL JOIN h ON g.tid = h.tid AND g.code = h.code) SELECT node, bool_or(CASE WHEN l IS NULL OR r IS NULL THEN coalesce(l, r) >= 5 ELSE NOT (q OR s) END) AS differ FROM p GROUP BY node")
+def children_differ(spark, sf):
+    side = lambda run, p: trace(spark, sf).filter(F.col("run") == run).groupBy("tid", "code").agg(F.count(F.lit(1)).cast("double").alias(f"{p}_perc"), F.max("addr").alias(f"{p}_hi"))
+    pairs = side("good", "l").join(side("bad", "r"), ["tid", "code"], "full").withColumn("relaxed_equal", F.col("l_perc") == F.col("r_perc")).withColumn("rate_equal", F.abs(F.col("l_hi") - F.col("r_hi")) < 20)
+    return compare.children_differ(pairs.withColumnRenamed("tid", "node"))
+
+
+@query(f"WITH {EV}, i AS (SELECT *, CASE WHEN lag(code) OVER (PARTITION BY tid ORDER BY t) = code THEN 0 ELSE 1 END AS x FROM ev), j AS (SELECT *, sum(x) OVER (PARTITION BY tid ORDER BY t) AS island FROM i) SELECT tid, code, min(t) AS t, string_agg(CAST(addr AS VARCHAR), ',' ORDER BY t) AS regs FROM j GROUP BY tid, island, code")
+def register_pairs(spark, sf):
+    out = order.register_pairs(trace(spark, sf).withColumn("reg", F.col("addr").cast("string")))
+    return out.select("tid", "code", "t", F.concat_ws(",", "regs").alias("regs"))
+
+
+@query(f"WITH {EV}, k AS (SELECT *, coalesce(sum(CASE WHEN code = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY tid ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM ev WHERE code IN ('purchase', 'click', 'view')) SELECT tid, max(t) FILTER (code = 'purchase') AS t, arg_max(addr, t) FILTER (code = 'click') AS at_click, arg_max(addr, t) FILTER (code = 'view') AS at_view FROM k GROUP BY tid, k.k HAVING count(*) FILTER (code = 'purchase') > 0")
+def registers_before(spark, sf):
+    return order.registers_before(trace(spark, sf).withColumn("reg", F.col("addr")), "purchase", ["click", "view"])
+
+
+@query("SELECT l_partkey, l_orderkey * 8 + l_linenumber AS insn, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 8 + l_linenumber) AS ordinal, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem")
+def ordinal_in_range(spark, sf):
+    rows = _table(spark, sf, "lineitem").select("l_partkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("insn"))
+    return align.ordinal(rows, ["l_partkey"])
+
+
+_FUNCTIONS = "fn AS (SELECT DISTINCT l_returnflag AS func, l_orderkey // 100 * 800 AS first, l_orderkey // 100 * 800 + 400 AS last FROM lineitem)"
+
+
+def _functions(spark, sf):
+    first = F.expr("l_orderkey div 100 * 800")
+    return _table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("func"), first.alias("first"), (first + 400).alias("last")).distinct()
+
+
+@query(f"WITH {_FUNCTIONS} SELECT func, l_orderkey * 8 + l_linenumber AS insn, first, last FROM lineitem JOIN fn ON func = l_returnflag AND l_orderkey * 8 + l_linenumber BETWEEN first AND last")
+def resolve_function(spark, sf):
+    names = _table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("func"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("insn"))
+    return align.resolve_function(names, _functions(spark, sf)).select("func", "insn", "first", "last")
+
+
+@query(f"WITH RECURSIVE {DAG}, p AS (SELECT CAST(0 AS BIGINT) AS node, '0' AS path UNION ALL SELECT e.dst, p.path || ',' || e.dst FROM p JOIN e ON e.src = p.node WHERE p.node < 11) SELECT path FROM p WHERE node >= 11")
+def path_enumeration(spark, sf):
+    node = spark.createDataFrame([(k,) for k in (11, 12, 13, 14)], "node long")
+    out = graph.paths(_dag(spark, sf), spark.createDataFrame([(0,)], "node long"), node)
+    return out.select(F.concat_ws(",", F.col("path").cast("array<string>")).alias("path"))
+
+
+@query(f"WITH RECURSIVE {DAG}, r AS (SELECT CAST(5 AS BIGINT) AS node UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r")
+def forward_slice(spark, sf):
+    return graph.forward_slice(_dag(spark, sf), spark.createDataFrame([(5,)], "node long"))
+
+
+@query(f"WITH RECURSIVE {DAG}, r AS (SELECT CAST(9 AS BIGINT) AS node UNION SELECT e.src FROM r JOIN e ON e.dst = r.node) SELECT src, dst FROM e WHERE dst IN (SELECT node FROM r)")
+def peel_sinks(spark, sf):
+    return graph.peel(_dag(spark, sf), spark.createDataFrame([(9,)], "node long"))
+
+
+@query(f"WITH RECURSIVE {DAG}, r AS (SELECT CAST(11 AS BIGINT) AS node, 0 AS depth UNION SELECT e.src, r.depth + 1 FROM r JOIN e ON e.dst = r.node) SELECT node, min(depth) AS depth FROM r GROUP BY node")
+def relation_search(spark, sf):
+    return graph.relation_search(_dag(spark, sf), 11)
+
+
+@query(f"WITH {DAG}, o AS (SELECT DISTINCT l_suppkey % 12 AS src, l_suppkey % 12 + l_linenumber % 4 + 1 AS dst FROM lineitem) (SELECT *, 'pred' AS only FROM (SELECT * FROM e EXCEPT SELECT * FROM o)) UNION ALL (SELECT *, 'succ' FROM (SELECT * FROM o EXCEPT SELECT * FROM e))")
+def edge_symmetry(spark, sf):
+    src = F.col("l_suppkey") % 12
+    other = _table(spark, sf, "lineitem").select(src.alias("src"), (src + F.col("l_linenumber") % 4 + 1).alias("dst"))
+    return graph.asymmetric(_dag(spark, sf), other)
+
+
+@query(f"WITH {EV}, {ST}, {EDGES} SELECT dst AS insn, src_t AS src, dst_t AS dst FROM edge WHERE dst IN ('purchase', 'click')")
+def one_level_graphs(spark, sf):
+    g = dynamic(spark, sf).select(F.col("src_t").alias("src"), F.col("dst_t").alias("dst"))
+    starts = trace(spark, sf).filter(F.col("code").isin("purchase", "click")).select(F.col("t").alias("node"), F.col("code").alias("insn"))
+    return graph.one_level(g, starts)
+
+
+_STORES = """e AS (SELECT DISTINCT l_returnflag AS func, l_suppkey % 12 AS src, (l_suppkey % 12 + l_linenumber % 2 * 4 + 1) % 12 AS dst FROM lineitem),
+s AS (SELECT DISTINCT l_returnflag AS func, l_suppkey % 12 AS node, 'p' || l_suppkey % 3 AS place FROM lineitem)"""
+
+
+@query(f"WITH RECURSIVE {_STORES}, r AS (SELECT s.func, e.dst AS node, s.place, s.node AS store FROM s JOIN e ON e.func = s.func AND e.src = s.node UNION SELECT r.func, e.dst, r.place, r.store FROM r JOIN e ON e.func = r.func AND e.src = r.node WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.func = r.func AND s.node = r.node AND s.place = r.place)) SELECT func, node, place, store FROM r")
+def reaching_stores(spark, sf):
+    li, src = _table(spark, sf, "lineitem"), F.col("l_suppkey") % 12
+    e = li.select(F.col("l_returnflag").alias("func"), src.alias("src"), ((src + F.col("l_linenumber") % 2 * 4 + 1) % 12).alias("dst")).distinct()
+    s = li.select(F.col("l_returnflag").alias("func"), src.alias("node"), F.concat(F.lit("p"), (F.col("l_suppkey") % 3).cast("string")).alias("place")).distinct()
+    return graph.reaching_stores(e, s)
+
+
+@query("WITH n AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS node, CAST(l_quantity AS BIGINT) AS delta FROM lineitem) SELECT CAST(l_suppkey AS VARCHAR) AS func, node, CAST(coalesce(sum(delta) OVER (PARTITION BY l_suppkey ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS height FROM n")
+def stack_heights(spark, sf):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
+    n = _table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("func"), F.row_number().over(w).cast("long").alias("node"), F.col("l_quantity").cast("long").alias("delta"))
+    links = n.filter("node > 1").select("func", (F.col("node") - 1).alias("src"), F.col("node").alias("dst"))
+    return graph.stack_heights(links, n)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
