@@ -6,8 +6,8 @@ differ in at most `radius` bits, two blocks at least agree, so with a table for
 keys of 51 bits or so) no neighbour is missed.  Keys are joined and each pair is verified in the first table in which
 it meets.  Searches take query rows against all rows; equal fingerprints are one row with a count.
 
-The next document in descending order of id is found without a global sort in one task: ids are cut into ranges, each
-range is sorted by itself, and the first document of each range is also sent, as a sentinel, to the range before.  The
+The next document in descending order of id is found without a global sort in one task: ids are cut into ranges of
+about equally many rows, each is sorted by itself, and the first document of each range is also sent, as a sentinel, to the range before.  The
 text is shuffled once.
 
 Cases: null and empty texts have the fingerprint zero and likeness 1 to each other; rows of one id follow each other in
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import prepare, row_map, stored
 
 BITS, RADIUS, PAIR_WEIGHT = 128, 3, 3
-#: Ranges of ids; a range is one sorted run of a task.  Rows of a range, about, where the table is large.
-RANGES, RANGE_ROWS = 64, 20_000
+#: Least and most ranges of ids (a range is a task; the most bounds what the driver lists), rows of one, about, and cells of the histogram for each.
+RANGES, RANGE_ROWS, CELLS = (12, 100_000), 4_000, 4
 _WORD = re.compile(r"\w+")
 
 
@@ -84,29 +84,42 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _ranges(docs: DataFrame, ranges: int | None) -> DataFrame:
-    """docs with a range number _g and _s (1: a sentinel, the first document of the next range)."""
+def _ranges(docs: DataFrame, ranges: int | None) -> tuple[DataFrame, int]:
+    """docs with a range number _g and _s (1: a sentinel, the first document of the next range), and how many ranges.
+
+    Ranges hold about equally many rows: they are cut on a histogram over the ids, of a few cells for each range.
+    """
+    spark = docs.sparkSession
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    ranges = ranges or max(RANGES, n // RANGE_ROWS)
-    if low is None:
-        return docs.withColumn("_g", F.lit(0)).withColumn("_s", F.lit(0)), 1, []
-    width = max(1, -(-(high - low + 1) // ranges))
-    group = F.coalesce(F.floor((F.lit(high) - F.col("doc_id")) / F.lit(width)).cast("int"), F.lit(ranges))
-    heads = docs.groupBy(group.alias("g")).agg(F.max("doc_id").alias("head")).orderBy("g").collect()  # one row a range
-    before = {r["head"]: heads[k - 1]["g"] for k, r in enumerate(heads)}
-    cases = docs.sparkSession.createDataFrame([(h, g) for h, g in before.items() if h is not None] or [(None, 0)], "head long, to int")
-    firsts = docs.join(F.broadcast(cases), F.col("doc_id") == F.col("head")).select(*docs.columns, F.col("to").alias("_g"), F.lit(1).alias("_s"))
-    lone = None in before  # rows without an id are a range of their own
-    if lone:
-        firsts = firsts.union(docs.filter("doc_id is null").select(*docs.columns, F.lit(before[None]).alias("_g"), F.lit(1).alias("_s")))
-    return docs.select(*docs.columns, group.alias("_g"), F.lit(0).alias("_s")).union(firsts), ranges + 1, heads
+    if low is None:  # no row, or none with an id: a range that is its own next
+        return docs.withColumn("_g", F.lit(0)).withColumn("_s", F.lit(0)).union(docs.withColumn("_g", F.lit(0)).withColumn("_s", F.lit(1))), 1
+    ranges = ranges or min(RANGES[1], max(RANGES[0], -(-n // RANGE_ROWS)))
+    width = max(1, -(-(high - low + 1) // (ranges * CELLS)))
+    cell = F.floor((F.lit(float(high)) - F.col("doc_id").cast("double")) / F.lit(float(width)))
+    hist = docs.groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("head")).collect()  # ranges x CELLS rows, about
+    places, heads, done, each = [], [], 0, n / ranges
+    for r in sorted(hist, key=lambda r: (r["c"] is None, r["c"])):
+        if r["c"] is None or done >= each * len(heads):  # rows without an id are a range of their own
+            heads.append(r["head"])
+        places.append((r["c"], len(heads) - 1))
+        done += r["n"]
+    last = len(heads) - 1
+    where = spark.createDataFrame([p for p in places if p[0] is not None], "_c long, _g int")
+    cases = spark.createDataFrame([(h, (k - 1) % len(heads)) for k, h in enumerate(heads) if h is not None], "_head long, _g int")
+    cols = docs.columns
+    own = docs.withColumn("_k", cell).join(F.broadcast(where), F.col("_k") == F.col("_c"), "left")
+    own = own.select(*cols, F.coalesce("_g", F.lit(last)).alias("_g"), F.lit(0).alias("_s"))
+    firsts = docs.join(F.broadcast(cases), F.col("doc_id") == F.col("_head")).select(*cols, "_g", F.lit(1).alias("_s"))
+    if heads[-1] is None:
+        firsts = firsts.union(docs.filter("doc_id is null").select(*cols, F.lit(last - 1).alias("_g"), F.lit(1).alias("_s")))
+    return own.union(firsts), len(heads)
 
 
 def compare_with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fp, edited_fp, near_edited, near_next) of every row of docs(doc_id, text); fingerprints in hex."""
     prepare(docs.sparkSession)
-    rows, n, _ = _ranges(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ranges)
-    dealt = rows.repartition(n, "_g").sortWithinPartitions("_g", "_s", F.col("doc_id").desc_nulls_last(), "text").select("doc_id", "text", "_g", "_s")
+    rows, n = _ranges(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ranges)
+    dealt = rows.repartitionById(n, "_g").sortWithinPartitions("_g", "_s", F.col("doc_id").desc_nulls_last(), "text").select("doc_id", "text", "_g", "_s")
 
     def make():
         fingerprint = Hasher().fingerprint

@@ -402,7 +402,9 @@ def test_decontamination(spark, docs):
 
 
 def test_fingerprints(docs, odd):
-    for df, ranges in ((docs, 5), (odd, 3), (docs.limit(1), 4), (docs.limit(0), 4)):
+    # ids in two far clumps, over the whole range of a long
+    far = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") - F.lit(1 << 62)).otherwise(F.lit((1 << 62) - 1) + F.col("doc_id")))
+    for df, ranges in ((docs, 5), (odd, 3), (docs.limit(1), 4), (docs.limit(0), 4), (far, 6), (docs, None), (docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")), 4)):
         order = sorted(((r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
         want = Counter()
         for k, (i, t) in enumerate(order):
