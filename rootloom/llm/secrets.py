@@ -184,7 +184,8 @@ def _line(spans: Column) -> Column:
 def query(docs: DataFrame) -> DataFrame:
     found = F.col("found")
     base = F.filter(found, lambda x: x["k"] < 3)
-    count = [F.size(F.filter(found, lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{RULES[k].kind}") for k in range(3)]
+    of = lambda k: F.filter(found, lambda x: x["k"] == k)  # noqa: E731 - a second argument of the inner lambda would be the index
+    count = [F.size(of(k)).cast("long").alias(f"n_{RULES[k].kind}") for k in range(3)]
     more = F.size(F.filter(found, lambda x: x["k"] >= 3)).cast("long").alias("n_more")
     return scan(docs).select("doc_id", *count, F.sha2(_line(base).cast("binary"), 256).alias("base_sha256"), _line(found).alias("spans"), more)
 

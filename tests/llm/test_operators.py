@@ -206,6 +206,7 @@ def test_secrets(spark, docs, odd):
     for df in (docs, odd, extra):
         want = Counter((r.doc_id, hashlib.sha256(slow_secrets(r.text).encode()).hexdigest()) for r in df.select("doc_id", "text").collect())
         assert Counter(rows(secrets.query(df), "doc_id", "base_sha256")) == want
+        assert all(n == line.count(f"{k}:") for *counts, line in rows(secrets.query(df), "n_assign", "n_access", "n_hex", "spans") for k, n in zip(("assign", "access", "hex"), counts, strict=True))
     spans = dict(rows(secrets.query(extra), "doc_id", "spans"))
     assert spans[901] == "github:0:44,pem:45:76"
 
