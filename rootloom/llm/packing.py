@@ -5,7 +5,7 @@ the first the shorter one.  Pieces of equal length are interchangeable, so packi
 each length: at most `capacity` numbers reach the driver, whatever the corpus.  There, best-fit decreasing packs whole
 groups of equal bins at once, giving patterns (multisets of lengths) with multiplicities.  The local search then works
 on the patterns: it moves a length, or exchanges one for one or two for one, between two underfull patterns wherever
-that raises the sum of squared fills, and so empties bins.  Pieces get their place by their rank among pieces of the
+that raises the sum of squared fills, and so empties bins, until no such change is left.  Pieces get their place by their rank among pieces of the
 same length: ranks are taken within (length, hash bucket) and shifted by the counts of earlier buckets, so no length,
 however common, meets in one task.
 
@@ -19,6 +19,8 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -31,8 +33,8 @@ CAPACITY, END = 1024, 2
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces of one length that one task ranks, about.
 RANK_ROWS = 200_000
-#: Pairs of patterns that the search looks at, at most: a limit of effort, no piece is left out.
-SEARCH = 6_000
+#: Pairs of patterns that the search looks at, at most; None: until no change is left.
+SEARCH = None
 
 
 def _byte_of() -> dict[str, int]:
@@ -159,13 +161,19 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> Packing:
     return out
 
 
+@lru_cache(maxsize=4096)
+def _parts(p: tuple) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """The different lengths of a pattern, and (sum, one, other) of two of its pieces, sorted."""
+    u = sorted(set(p))
+    return u, sorted({(x + y, x, y) for i, x in enumerate(u) for y in u[i:] if x != y or p.count(x) > 1})
+
+
 def _better(a: tuple, b: tuple, capacity: int) -> tuple[tuple, tuple] | None:
     """The change between bins a (fuller) and b with the fullest result: a move, one for one, or two for one."""
     room, best, gain = capacity - sum(a), None, 0
     if room <= 0:
         return None
-    ua, ub = sorted(set(a)), sorted(set(b))
-    pairs = sorted({(x + y, x, y) for i, x in enumerate(ua) for y in ua[i:] if x != y or a.count(x) > 1})
+    (ua, pairs), (ub, two) = _parts(a), _parts(b)
     for give in ub:
         tries = []
         if give <= room:
@@ -179,7 +187,6 @@ def _better(a: tuple, b: tuple, capacity: int) -> tuple[tuple, tuple] | None:
         for rise, back in tries:
             if rise > gain:
                 gain, best = rise, ((give,), back)
-    two = sorted({(x + y, x, y) for i, x in enumerate(ub) for y in ub[i:] if x != y or b.count(x) > 1})
     for back in ua:
         k = bisect_left(two, (room + back + 1,)) - 1
         if k >= 0 and two[k][0] - back > gain:
@@ -196,36 +203,61 @@ def _better(a: tuple, b: tuple, capacity: int) -> tuple[tuple, tuple] | None:
     return tuple(sorted(na.elements(), reverse=True)), tuple(sorted(nb.elements(), reverse=True))
 
 
-def local_search(packing: Packing, effort: int = SEARCH) -> Packing:
-    """Changes between underfull bins that raise the sum of squared fills, until none does or the effort is spent."""
+def local_search(packing: Packing, effort: int | None = SEARCH) -> Packing:
+    """Changes between underfull bins that raise the sum of squared fills, until none does or no bin can be saved.
+
+    Patterns are taken the emptiest first and meet all others, the fullest first.  A pair is looked at again only if one
+    of the two has appeared since, so the search ends when every pair has been looked at in vain; effort, if given,
+    is the most pairs to look at.
+    """
     cap, pats = packing.capacity, Counter(packing.patterns)
+    bins = sum(pats.values())
     lower = -(-sum(m * sum(p) for p, m in pats.items()) // cap)
-    changed = True
-    while changed and effort > 0 and sum(pats.values()) > lower:
-        changed = False
-        under = sorted((p for p in pats if sum(p) < cap), key=sum)
-        for b in under:  # the emptiest first: it is taken apart
-            if effort <= 0 or sum(pats.values()) == lower:
+    clock = 0
+    born = {p: 0 for p in pats if p and sum(p) < cap}
+    met: dict[tuple, int] = {}  # patterns that have met all that were there at this time
+    order = sorted((sum(p), p) for p in born)
+    queue = list(order)  # sorted, so a heap
+    while queue and bins > lower:
+        x = heappop(queue)[1]
+        if not pats[x] or x in met:
+            continue
+        clock += 1
+        began = clock
+        for _, y in reversed(order):
+            if not pats[x] or bins == lower:
                 break
-            for a in reversed(under):
-                if not pats[b]:
-                    break
-                if not pats[a] or (a == b and pats[a] < 2) or sum(a) < sum(b):
-                    continue
-                effort -= 1
+            if not pats[y] or (x == y and pats[x] < 2) or met.get(y, -1) > born[x]:
+                continue
+            if effort is not None:
                 if effort <= 0:
-                    break
-                if (new := _better(a, b, cap)) is None:
+                    return Packing(cap, Counter({p: m for p, m in pats.items() if m and p}))
+                effort -= 1
+            a, b = (y, x) if sum(y) >= sum(x) else (x, y)
+            new = _better(a, b, cap)
+            if new is None and a != b and sum(a) == sum(b):
+                a, b = b, a
+                new = _better(a, b, cap)
+            if new is None:
+                continue
+            n = pats[a] // 2 if a == b else min(pats[a], pats[b])
+            pats[a] -= n
+            pats[b] -= n
+            clock += 1
+            for p in new:
+                if not p:
+                    bins -= n
                     continue
-                n = pats[a] // 2 if a == b else min(pats[a], pats[b])
-                pats[a] -= n
-                pats[b] -= n
-                for p in new:
-                    if p:
-                        pats[p] += n
-                changed = True
-        pats = Counter({p: m for p, m in pats.items() if m and p})
-    return Packing(cap, pats)
+                if pats[p] < 2 and sum(p) < cap:  # new, or now twice there and so not yet met by itself
+                    born[p] = born[p] if pats[p] else clock
+                    met.pop(p, None)
+                    heappush(queue, (sum(p), p))
+                pats[p] += n
+        if pats[x]:
+            met[x] = began
+        order = sorted({(sum(p), p) for p in born if pats[p]})
+        born = {p: born[p] for _, p in order}
+    return Packing(cap, Counter({p: m for p, m in pats.items() if m and p}))
 
 
 def slots(packing: Packing) -> dict[int, list[tuple[int, int, int, int]]]:
@@ -243,7 +275,7 @@ def slots(packing: Packing) -> dict[int, list[tuple[int, int, int, int]]]:
     return out
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, effort: int = SEARCH) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, effort: int | None = SEARCH) -> DataFrame:
     """Every piece of docs with its sequence_id and offset."""
     cut = stored(pieces(docs, capacity, tokenizer), "pieces")
     counts = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most

@@ -301,6 +301,23 @@ def test_local_search_empties_bins():
 # ---- quality
 
 
+def test_local_search_runs_to_its_end():
+    rng = np.random.default_rng(6)
+    for low, high, n in ((200, 700, 4000), (1, 1024, 3000), (250, 900, 2000)):
+        counts = Counter(rng.integers(low, high, n).tolist())
+        p = packing.best_fit(counts)
+        q = packing.local_search(p)
+        got = Counter()
+        for pat, m in q.patterns.items():
+            assert sum(pat) <= 1024
+            got.update({x: m * k for x, k in Counter(pat).items()})
+        assert got == counts and q.bins() <= p.bins() and q.squares() >= p.squares()
+        under = [x for x in q.patterns if sum(x) < 1024]
+        assert q.bins() == -(-sum(k * v for k, v in counts.items()) // 1024) or not any(
+            packing._better(a, b, 1024) for a in under for b in under if sum(a) >= sum(b) and (a != b or q.patterns[a] > 1)
+        )
+
+
 def test_quality(docs, spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
