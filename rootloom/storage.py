@@ -5,22 +5,41 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(spark) -> str:
-    """spark.checkpoint.dir; a temporary folder where it is unset (local tests)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors and the driver share: spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder in local mode only; on a cluster that is an error, as a machine's own folder
+    would lose the tables of other machines.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = at.get() if at.isDefined() else None
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="rootloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/loop-{uuid.uuid4().hex}"
+def scratch(spark: SparkSession) -> str:
+    """The folder in shared_dir() that holds this application's tables."""
+    return f"{shared_dir(spark)}/rootloom-{spark.sparkContext.applicationId}"
+
+
+def stored(df: DataFrame, name: str = "loop") -> DataFrame:
+    """Write df to the shared folder as Parquet and read it back: cuts lineage and survives lost executors."""
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables that this application has stored; results that still read them must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
