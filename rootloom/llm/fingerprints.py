@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, row_map, stored
+from .common import row_map, stored
 
 BITS, RADIUS, PAIR_WEIGHT = 128, 3, 3
 #: Least and most ranges of ids (a range is a task; the most bounds what the driver lists), rows of one, about, and cells of the histogram for each.
@@ -117,7 +117,6 @@ def _ranges(docs: DataFrame, ranges: int | None) -> tuple[DataFrame, int]:
 
 def compare_with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fp, edited_fp, near_edited, near_next) of every row of docs(doc_id, text); fingerprints in hex."""
-    prepare(docs.sparkSession)
     rows, n = _ranges(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ranges)
     dealt = rows.repartitionById(n, "_g").sortWithinPartitions("_g", "_s", F.col("doc_id").desc_nulls_last(), "text").select("doc_id", "text", "_g", "_s")
 

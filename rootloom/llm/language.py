@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, row_map, stored
+from .common import row_map, stored
 from .urls import host_of
 
 #: Documents a language to learn from, about; languages at most; bins of the trigram table.
@@ -88,7 +88,6 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
 
     Where url is not null, text is html: its visible text and declared language are used.
     """
-    prepare(rows.sparkSession)
     langs, table = model
     spark = rows.sparkSession
     if not langs:

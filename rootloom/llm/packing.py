@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, row_map, stored
+from .common import row_map, stored
 
 CAPACITY, END = 1024, 2
 #: Fixed value: how byte-level BPE cuts a text into words.
@@ -83,7 +83,6 @@ def _tokenizer(path: str | None):
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of docs(doc_id, text); tokenizer: path of a byte-level BPE file."""
-    prepare(docs.sparkSession)
 
     def make():
         ids = _tokenizer(tokenizer)

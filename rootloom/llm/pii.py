@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from .common import prepare, row_map, stored, unused
+from .common import row_map, stored, unused
 
 KINDS = ("email", "ip", "card", "phone", "context")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -143,7 +143,6 @@ def _occurrences():
 
 def learn(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(occurrences, accepted patterns(p)) over all of docs(doc_id, text)."""
-    prepare(docs.sparkSession)
     d = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     found = stored(row_map(d, _occurrences, "doc_id long, th long, s int, e int, p long, v long, seed int"), "pii-occurrences")
     edges = found.groupBy("p", "v").agg(F.max("seed").alias("seed"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, prepare, row_map, stored, unused
+from .common import checked, row_map, stored, unused
 
 SAMPLE, THRESHOLD, FOLDS = 20_000, 0.3, 5
 TREES, LEAVES, RATE, BINS, LEAST, L2 = 60, 12, 0.15, 64, 20, 1.0
@@ -68,7 +68,6 @@ def statistics(text: str | None) -> list[float]:
 
 def features(docs: DataFrame) -> DataFrame:
     """(doc_id, th, x array<float>) of docs(doc_id, text); th is a hash of the text."""
-    prepare(docs.sparkSession)
 
     def make():
         return lambda ids, th, texts: [(i, t, [float(v) for v in statistics(x)]) for i, t, x in zip(ids, th, texts, strict=True)]

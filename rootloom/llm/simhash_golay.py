@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, prepare, row_map, stored, unused
+from .common import components, row_map, stored, unused
 
 SEED, WORDS, RADIUS = 42, 3, 2
 WIDTHS = (22, 21, 21)
@@ -61,7 +61,6 @@ def signed(x: int) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, th, fp): th is a hash of the text, fp the fingerprint as a signed long."""
-    prepare(docs.sparkSession)
 
     def make():
         return lambda ids, th, texts: [(i, t, signed(fingerprint(x))) for i, t, x in zip(ids, th, texts, strict=True)]

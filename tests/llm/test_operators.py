@@ -372,6 +372,52 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted(rows(warc.write(every.repartition(7), again, roll=20_000))) == sorted(rows(manifest))
 
 
+def test_warc_far_ids_and_repeats(spark, tmp_path):
+    long_ = "y" * 1500
+    ids = [-(1 << 62) - 5, (1 << 62) + 5, (1 << 63) - 1, -(1 << 63), 7, 7, 8]
+    data = [(i, f"u{k}", long_ if k < 5 else f"z{k}" * 800) for k, i in enumerate(ids)] + [(None, None, "n" * 2000)] * 3 + [(9, "same", f"{k}" * 1200) for k in range(40)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    out = tmp_path.as_uri() + "/far"
+    got = warc.read(warc.write(df, out, shards=12), out).collect()
+    assert Counter((r.page_id, r.payload_digest) for r in got) == Counter((i, hashlib.sha1(h.encode()).hexdigest()) for i, _, h in data)
+    assert {(r.page_id, r.refers_to) for r in got if r.payload_digest == hashlib.sha1(long_.encode()).hexdigest()} == {(i, None if i == (1 << 63) - 1 else (1 << 63) - 1) for i in ids[:5]}
+    # a second write to the same place replaces the files, and the same rows give the same bytes
+    assert len(warc.read(warc.write(df, out, shards=12), out).collect()) == len(data)
+
+
+def test_warc_headers(spark, tmp_path):
+    import gzip
+
+    df = spark.createDataFrame([(1, "a", "x" * 1000), (2, "b", "x" * 1000)], "page_id long, url string, html string")
+    out = tmp_path.as_uri() + "/heads"
+    (name,) = {r.file for r in warc.write(df, out, shards=1).collect()}
+    with gzip.open(tmp_path / "heads" / name) as f:
+        found = [h for h, _ in warc.parse(f)]
+    assert [h["warc-type"] for h in found] == ["warcinfo", "revisit", "response"]
+    assert found[1]["warc-refers-to"] == found[2]["warc-record-id"] and found[1]["warc-refers-to-target-uri"] == "b" and found[0]["warc-filename"] == name
+
+
+def sizes(df, cuts):
+    out = df.withColumn("r", cuts.column(F.col("k"), F.xxhash64("t"))).groupBy("r").agg(F.sum("w").alias("w"), F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("r").collect()
+    assert all(a.hi <= b.lo for a, b in zip(out, out[1:])) and out[-1].r < len(cuts)
+    return [r.w for r in out]
+
+
+def test_ranges(spark):
+    from rootloom.llm.common import ranges
+
+    base = spark.range(20_000).select(F.col("id").alias("k"), F.lit(1).cast("long").alias("w"), F.col("id").alias("t"))
+    outlier = base.union(spark.createDataFrame([((1 << 63) - 1, 1, 0), (-(1 << 63), 1, 0)], base.schema))
+    clumps = base.withColumn("k", F.when(F.col("k") % 2 == 0, F.col("k") - F.lit(1 << 62)).otherwise(F.col("k") + F.lit(1 << 61)))
+    hot = base.withColumn("k", F.when(F.col("k") % 3 == 0, F.lit(5)).otherwise(F.col("k")))
+    heavy = base.withColumn("w", F.when(F.col("k") % 100 == 0, 50).otherwise(1).cast("long"))
+    for df in (base, outlier, clumps, hot, heavy):
+        cuts = ranges(df.select("k", "w"), 16)
+        w = sizes(df, cuts)
+        assert max(w) <= 2 * sum(w) / len(w) and 12 <= len(w) <= 24, w
+    assert len(ranges(base.limit(0).select("k", "w"), 5)) == 1 and len(ranges(base.limit(1).select("k", "w"), 5)) >= 1
+
+
 def test_warc_empty(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string, shard int")
     out = tmp_path.as_uri() + "/none"
