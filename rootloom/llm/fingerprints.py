@@ -7,12 +7,12 @@ keys of 51 bits or so) no neighbour is missed.  Keys are joined and each pair is
 it meets.  Searches take query rows against all rows; equal fingerprints are one row with a count.
 
 The next document in descending order of id is found without a global sort in one task: ids are cut into ranges of
-about equally many rows, each is sorted by itself, and the first document of each range is also sent, as a sentinel, to the range before.  The
-text is shuffled once.
+about equally many rows (see common.ranges: outliers, clumps and repeated ids make no range heavy), each is sorted by
+itself, and the first document of each range is also sent, as a sentinel, to the range before.  The text is shuffled once.
 
 Cases: null and empty texts have the fingerprint zero and likeness 1 to each other; rows of one id follow each other in
-order of text; null ids come last; a table of one row is its own next; an empty table gives an empty result; extra
-columns are ignored.
+order of a hash of the text, then text; null ids come last; a table of one row is its own next; texts of any length are
+read whole; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,14 +22,14 @@ import re
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_map, stored
+from .common import Ranges, ranges, row_map, stored
 
 BITS, RADIUS, PAIR_WEIGHT = 128, 3, 3
-#: Least and most ranges of ids (a range is a task; the most bounds what the driver lists), rows of one, about, and cells of the histogram for each.
-RANGES, RANGE_ROWS, CELLS = (12, 100_000), 4_000, 4
+#: Least and most ranges of ids (a range is a task; the most bounds what the driver lists), and rows of one, about.
+RANGES, RANGE_ROWS = (12, 50_000), 4_000
 _WORD = re.compile(r"\w+")
 
 
@@ -84,41 +84,34 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _ranges(docs: DataFrame, ranges: int | None) -> tuple[DataFrame, int]:
-    """docs with a range number _g and _s (1: a sentinel, the first document of the next range), and how many ranges.
-
-    Ranges hold about equally many rows: they are cut on a histogram over the ids, of a few cells for each range.
-    """
-    spark = docs.sparkSession
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    if low is None:  # no row, or none with an id: a range that is its own next
-        return docs.withColumn("_g", F.lit(0)).withColumn("_s", F.lit(0)).union(docs.withColumn("_g", F.lit(0)).withColumn("_s", F.lit(1))), 1
-    ranges = ranges or min(RANGES[1], max(RANGES[0], -(-n // RANGE_ROWS)))
-    width = max(1, -(-(high - low + 1) // (ranges * CELLS)))
-    cell = F.floor((F.lit(float(high)) - F.col("doc_id").cast("double")) / F.lit(float(width)))
-    hist = docs.groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("head")).collect()  # ranges x CELLS rows, about
-    places, heads, done, each = [], [], 0, n / ranges
-    for r in sorted(hist, key=lambda r: (r["c"] is None, r["c"])):
-        if r["c"] is None or done >= each * len(heads):  # rows without an id are a range of their own
-            heads.append(r["head"])
-        places.append((r["c"], len(heads) - 1))
-        done += r["n"]
-    last = len(heads) - 1
-    where = spark.createDataFrame([p for p in places if p[0] is not None], "_c long, _g int")
-    cases = spark.createDataFrame([(h, (k - 1) % len(heads)) for k, h in enumerate(heads) if h is not None], "_head long, _g int")
-    cols = docs.columns
-    own = docs.withColumn("_k", cell).join(F.broadcast(where), F.col("_k") == F.col("_c"), "left")
-    own = own.select(*cols, F.coalesce("_g", F.lit(last)).alias("_g"), F.lit(0).alias("_s"))
-    firsts = docs.join(F.broadcast(cases), F.col("doc_id") == F.col("_head")).select(*cols, "_g", F.lit(1).alias("_s"))
-    if heads[-1] is None:
-        firsts = firsts.union(docs.filter("doc_id is null").select(*cols, F.lit(last - 1).alias("_g"), F.lit(1).alias("_s")))
-    return own.union(firsts), len(heads)
-
-
-def compare_with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+def _dealt(docs: DataFrame, parts: int | None) -> tuple[DataFrame, int]:
+    """docs(doc_id, text) with its range _g, _s (1: a sentinel, the first document of the next range), and how many ranges."""
+    key = F.coalesce(F.bitwise_not(F.col("doc_id")), F.lit((1 << 63) - 1))  # descending ids, then none
+    tie = F.xxhash64("text")
+    parts = parts or min(RANGES[1], max(RANGES[0], -(-docs.count() // RANGE_ROWS)))
+    cuts = ranges(docs.select(key.alias("k"), F.lit(1).cast("long").alias("w")), parts)
+    own = docs.withColumn("_k", key).withColumn("_t", tie).withColumn("_g", cuts.column(F.col("_k"), F.col("_t")))
+    # the first document of each range: the least key first, then the first of its texts
+    least = own.groupBy("_g").agg(F.min("_k").alias("_k")) if (cuts.parts > 1).any() else _first_keys(docs, key, cuts)
+    least = stored(least, "range-heads")  # a row for each range
+    order = F.struct((F.col("_t").bitwiseXOR(F.lit(-(1 << 63)))).alias("t"), "text", "doc_id")
+    heads = own.join(F.broadcast(least), ["_g", "_k"]).groupBy("_g").agg(F.min(order).alias("h"))
+    at = sorted(r["_g"] for r in least.select("_g").collect())
+    before = docs.sparkSession.createDataFrame([(g, at[k - 1]) for k, g in enumerate(at)], "_g int, _before int")
+    sent = heads.join(F.broadcast(before), "_g").select("h.doc_id", "h.text", F.lit(0).cast("long").alias("_k"), F.lit(0).cast("long").alias("_t"), F.col("_before").alias("_g"), F.lit(1).alias("_s"))
+    own = own.select("doc_id", "text", "_k", F.col("_t").bitwiseXOR(F.lit(-(1 << 63))).alias("_t"), "_g", F.lit(0).alias("_s"))
+    return own.unionByName(sent), len(cuts)
+
+
+def _first_keys(docs: DataFrame, key: Column, cuts: Ranges) -> DataFrame:
+    """(_g, _k): the least key in each range, where no key is cut by its texts; texts are not read."""
+    return docs.select(key.alias("_k")).withColumn("_g", cuts.column(F.col("_k"), F.lit(0).cast("long"))).groupBy("_g").agg(F.min("_k").alias("_k"))
+
+
+def compare_with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fp, edited_fp, near_edited, near_next) of every row of docs(doc_id, text); fingerprints in hex."""
-    rows, n = _ranges(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ranges)
-    dealt = rows.repartitionById(n, "_g").sortWithinPartitions("_g", "_s", F.col("doc_id").desc_nulls_last(), "text").select("doc_id", "text", "_g", "_s")
+    rows, n = _dealt(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), parts)
+    dealt = rows.repartitionById(n, "_g").sortWithinPartitions("_g", "_s", "_k", "_t", "text").select("doc_id", "text", "_g", "_s")
 
     def make():
         fingerprint = Hasher().fingerprint

@@ -465,11 +465,41 @@ def test_decontamination(spark, docs):
 # ---- fingerprints
 
 
+def spark_hash(text):
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text.encode(), 42)
+
+
+def slow_fingerprint(text):
+    """The votes counted one by one."""
+    import xxhash
+
+    mask = (1 << 64) - 1
+
+    def mix(h):
+        for shift, k in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ h >> shift) * k & mask
+        return h ^ h >> 31
+
+    one = [xxhash.xxh64_intdigest(w.encode()) for w in re.findall(r"\w+", (text or "").lower())]
+    two = [(a * 3 + (b ^ b >> 17)) & mask for a, b in zip(one, one[1:])]
+    votes = [0] * 128
+    for terms, weight in ((one, 1), (two, 3)):
+        for h in terms:
+            # eight bytes little-endian, each from its highest bit on
+            bits = b"".join(mix(x).to_bytes(8, "little") for x in (h, h ^ 0x9E3779B97F4A7C15))
+            for k in range(128):
+                votes[k] += weight if bits[k // 8] >> 7 - k % 8 & 1 else -weight
+    return f"{sum(1 << 127 - k for k, v in enumerate(votes) if v > 0):032x}"
+
+
 def test_fingerprints(docs, odd):
     # ids in two far clumps, over the whole range of a long
     far = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") - F.lit(1 << 62)).otherwise(F.lit((1 << 62) - 1) + F.col("doc_id")))
-    for df, ranges in ((docs, 5), (odd, 3), (docs.limit(1), 4), (docs.limit(0), 4), (far, 6), (docs, None), (docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")), 4)):
-        order = sorted(((r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    same = docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(7)).otherwise(F.col("doc_id")))
+    for df, ranges in ((same, 8), (docs.union(docs), 5), (docs, 5), (odd, 3), (docs.limit(1), 4), (docs.limit(0), 4), (far, 6), (docs, None), (docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")), 4)):
+        order = sorted(((r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()), key=lambda x: (x[0] is None, -(x[0] or 0), spark_hash(x[1])))
         want = Counter()
         for k, (i, t) in enumerate(order):
             nxt = order[(k + 1) % len(order)][1]
@@ -477,8 +507,19 @@ def test_fingerprints(docs, odd):
             want[i, len(t), hashlib.sha256((t[: len(t) - n] + nxt[:n]).encode()).hexdigest()] += 1
         got = fingerprints.compare_with_next(df, ranges).collect()
         assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+        if df is odd or df is docs:
+            some = [t for _, t in order if len(t) < 3000]
+            assert {slow_fingerprint(t) for t in some} <= {r.fp for r in got}
         assert all(0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1 for r in got)
-    got = [r for r in fingerprints.query(docs).collect() if r.n_chars > 400]
+    every = fingerprints.query(docs).collect()
+    texts = dict(rows(docs, "doc_id", "text"))
+    prints = {i: slow_fingerprint(t) for i, t in texts.items()}
+    assert all(r.fingerprint == prints[r.doc_id] for r in every)
+    nums = {i: int(x, 16) for i, x in prints.items()}
+    for r in every:
+        asked = r.doc_id % 100 == 0
+        assert r.n_near == (sum((nums[r.doc_id] ^ x).bit_count() <= 3 for x in nums.values()) - 1 if asked else None)
+    got = [r for r in every if r.n_chars > 400]
     assert np.mean([r.near_edited > r.near_next for r in got]) > 0.9
 
 
