@@ -600,6 +600,78 @@ def test_language_fuses(spark, docs):
     assert language.identify(spark.createDataFrame(data, "kind string, id long, text string, url string, host string"), language.train(docs.limit(0))).filter("lang is null").count() == len(data)
 
 
+def slow_posterior(rows_, model, langs):
+    """rows_: (host, suffix, declared, log-likelihoods, vote) -> posterior of each row, by loops."""
+    import math
+
+    n, out = len(langs), []
+    count = lambda keep: [sum(bool(keep(r)) and r[4] == i for r in rows_) for i in range(n)]
+    every = [c + 1.0 for c in count(lambda r: True)]
+    every = [x / sum(every) for x in every]
+    like = [[sum(r[2] == d and r[4] == i for r in rows_) + language.DECLARED_WEIGHT * (0.8 if d == lang else 0.2 / (n - 1)) for i, lang in enumerate(langs)] for d in langs]
+    like = [[x / sum(row[i] for row in like) for i, x in enumerate(row)] for row in like]
+    for host, suffix, said, ll, v in rows_:
+        own = [float(i == v) for i in range(n)]
+        s = [max(0, a - b) for a, b in zip(count(lambda r: r[0] and r[1] == suffix), own)] if host else [0] * n
+        h = [max(0, a - b) for a, b in zip(count(lambda r: r[0] == host and r[1] == suffix), own)] if host else [0] * n
+        by_s = [(x + language.SUFFIX_WEIGHT * e) / (sum(s) + language.SUFFIX_WEIGHT) for x, e in zip(s, every)]
+        by_h = [(x + language.HOST_WEIGHT * e) / (sum(h) + language.HOST_WEIGHT) for x, e in zip(h, by_s)]
+        p = [a + math.log(b) + (math.log(like[langs.index(said)][i]) if said else 0) for i, (a, b) in enumerate(zip(ll, by_h))]
+        p = [math.exp(x - max(p)) for x in p]
+        out.append([x / sum(p) for x in p])
+    return out
+
+
+def test_language_against_brute_force(spark, docs):
+    """Every row's language and confidence, and short texts overruled by host and markup."""
+    model = language.train(docs)
+    langs, table = model
+    texts = {lang: [r.text for r in docs.filter(F.col("lang") == lang).orderBy("doc_id").limit(12).collect()] for lang in langs}
+    data = [("page", 100 * k + i, f"<html lang={lang}><p>{t}", f"http://{lang}.org/{i}", f"{lang}.org") for k, lang in enumerate(langs) for i, t in enumerate(texts[lang])]
+    # a word that looks English, but not much less German and French
+    en, de, fr = (langs.index(x) for x in ("en", "de", "fr"))
+    scores = {w: table[language.codes(w)].sum(axis=0) for t in texts["en"] for w in t.split()}
+    near = {w: x.max() - min(x[de], x[fr]) for w, x in scores.items() if len(w) > 2 and x.argmax() == en}
+    short = min(near, key=near.get)
+    data += [("page", 5000, short, "http://de.org/", "de.org"), ("page", 5001, f"<html lang='fr'>{short}", "http://fr.org/", "fr.org"), ("page", 5002, short, "", None), ("document", 1, texts["es"][0], None, "src"), ("document", 2, None, None, "src"), ("document", 3, "x", None, None)]
+    df = spark.createDataFrame(data, "kind string, id long, text string, url string, host string")
+    got = {(r.kind, r.id): r for r in language.identify(df, model).collect()}
+    seen = []
+    for kind, i, text, url, host in data:
+        said = language.declared(text or "") if url is not None else None
+        c = language.codes(language.visible(text) if url is not None else text or "")
+        ll = table[c].sum(axis=0, dtype=np.float64) * min(1.0, language.LENGTH / max(1, len(c)))
+        seen.append((host, host.rsplit(".", 1)[-1] if host and url is not None else None, said, list(ll - ll.max()), int(ll.argmax()) if len(c) else -1))
+    for (kind, i, *_), p in zip(data, slow_posterior(seen, model, langs), strict=True):
+        r = got[kind, i]
+        assert r.lang == langs[int(np.argmax(p))] and abs(r.confidence - max(p)) < 1e-6, (kind, i)
+    assert got["page", 5000].text_lang == "en" != got["page", 5000].lang == "de" and got["page", 5001].lang == "fr" and got["page", 5002].lang == "en"
+
+
+def test_language_keeps_all_languages(spark, docs):
+    many = spark.createDataFrame([(i, f"{chr(0x100 + i) * 5} {chr(0x100 + i) * 7}", f"l{i:02d}", "s", 1) for i in range(70)], DOCS)
+    langs, table = language.train(many)
+    assert len(langs) == 70 and table.shape[1] == 70
+    out = language.query(many, spark.createDataFrame([], "page_id long, url string, html string"))
+    assert out.filter("lang = text_lang").count() == 70
+
+
+def test_language_odd(odd, docs):
+    model = language.train(docs)
+    rows_ = odd.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text", F.lit(None).cast("string").alias("url"), F.col("source").alias("host"))
+    out = language.identify(rows_, model)
+    assert out.count() == odd.count() and out.filter("lang is null").count() == 0
+    assert language.query(odd, odd.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"), "p")).count() == 2 * odd.count()
+
+
+def test_language_splits_large_hosts(spark, monkeypatch):
+    monkeypatch.setattr(language, "HOST_ROWS", 10)
+    votes = spark.createDataFrame([("d", i, "hot" if i % 3 else None, "x" if i % 2 else None, None, 0, [float(i), 0.0]) for i in range(200)], "kind string, id long, host string, suffix string, declared string, v int, ll array<double>")
+    prior = votes.filter("host is not null").groupBy(F.col("host").alias("_h"), F.col("suffix").alias("_s")).agg(F.count(F.lit(1)).alias("rows")).select("_h", "_s", F.array(F.col("rows").cast("double"), F.lit(0.0)).alias("h"), F.array(F.lit(1.0), F.lit(2.0)).alias("s"), "rows")
+    pick = lambda df: Counter((r.id, str(r.h), str(r.s)) for r in df.collect())
+    assert pick(language._with_priors(votes, prior, 100)) == pick(language._with_priors(votes, prior, 0))
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], DOCS)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
