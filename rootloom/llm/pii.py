@@ -4,15 +4,16 @@ The fixed formats (email, ip, card, phone) are the seeds.  The words around each
 words before it, and the word before with the word after.  Identifier-like tokens (with a digit or an at sign) that no
 format covers are unknown instances, and the same patterns are taken around them.  Patterns and instances form a
 bipartite graph that Spark scores in rounds: a pattern's confidence is the mean score of its instances, shrunk
-towards zero by a prior; an unknown instance's score is the mean confidence of its patterns.  Patterns with enough
-different seeds and a high confidence then discover identifiers that no format knows; these become spans of kind
-`context`.
+towards zero by a prior; an unknown instance's score is the mean confidence of its patterns.  Instances that reach the
+confidence are promoted: they count as seeds from the next round on, and so admit patterns that the formats alone do
+not.  Patterns with enough different seeds and a high confidence discover identifiers that no format knows; these
+become spans of kind `context`.  The rounds end when PATIENCE of them in a row promote nothing.
 
 The text is read twice and never shuffled; only occurrences (hashes) and patterns are.  The accepted patterns are
 broadcast if a count shows that they are few, else occurrences are joined to the documents.
 
-Cases: null text counts as empty; null and repeated doc_ids keep their rows; empty tables give empty results; extra
-columns are ignored by find() and kept by redact().
+Cases: null text counts as empty; null and repeated doc_ids keep their rows; words and identifiers of any length count
+whole, in texts of any length; empty tables give empty results; extra columns are ignored by find() and kept by redact().
 """
 
 from __future__ import annotations
@@ -34,9 +35,12 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]\S*")
 _DIGIT = re.compile(r"[0-9]")
-#: Characters of context looked at on either side, and of the longest token taken for an identifier.
-CONTEXT, TOKEN = 64, 64
-MIN_SEEDS, MIN_CONFIDENCE, PRIOR, ROUNDS = 8, 0.8, 1.0, 3
+_NEXT = re.compile(r"\S+")
+#: The least length of an unknown identifier.
+TOKEN = 4
+MIN_SEEDS, MIN_CONFIDENCE, PRIOR = 8, 0.8, 1.0
+#: Rounds in a row, in which scores still move, that must promote nothing before the search ends.
+PATIENCE = 2
 #: Accepted patterns up to which they are sent to every task.
 PATTERN_ROWS = 200_000
 
@@ -87,17 +91,29 @@ def _hash(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _before(text: str, end: int) -> tuple[str, int]:
+    """The whole word that ends last before `end` (what touches `end` is a word of its own), and where it begins."""
+    while end > 0 and text[end - 1].isspace():
+        end -= 1
+    start = end
+    while start > 0 and not text[start - 1].isspace():
+        start -= 1
+    return text[start:end].lower(), start
+
+
 def patterns(text: str, start: int, end: int) -> list[int]:
     """Hashes of the lexical patterns around a span; none at a text's edge or next to another identifier."""
-    left = text[max(0, start - CONTEXT) : start].lower().split()
-    right = text[end : end + CONTEXT].lower().split()
-    if not left or _DIGIT.search(left[-1]):
+    one, at = _before(text, start)
+    if not one or _DIGIT.search(one):
         return []
+    two, _ = _before(text, at)
+    m = _NEXT.search(text, end)
+    after = m[0].lower() if m else ""
     out = []
-    if len(left) > 1 and not _DIGIT.search(left[-2]):
-        out.append(_hash(f"L {left[-2]} {left[-1]}"))
-    if right and not _DIGIT.search(right[0]):
-        out.append(_hash(f"M {left[-1]} {right[0]}"))
+    if two and not _DIGIT.search(two):
+        out.append(_hash(f"L {two} {one}"))
+    if after and not _DIGIT.search(after):
+        out.append(_hash(f"M {one} {after}"))
     return out
 
 
@@ -114,7 +130,7 @@ def unknown(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int
             e -= 1
         while s < e and not text[s].isalnum():
             s += 1
-        if not 4 <= e - s <= TOKEN:
+        if e - s < TOKEN:
             continue
         while k < len(covered) and covered[k][1] <= s:
             k += 1
@@ -141,22 +157,31 @@ def _occurrences():
     return work
 
 
-def learn(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def learn(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
     """(occurrences, accepted patterns(p)) over all of docs(doc_id, text)."""
     d = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     found = stored(row_map(d, _occurrences, "doc_id long, th long, s int, e int, p long, v long, seed int"), "pii-occurrences")
     edges = found.groupBy("p", "v").agg(F.max("seed").alias("seed"))
-    seeded = edges.groupBy("p").agg(F.sum("seed").alias("seeds")).filter(F.col("seeds") >= min_seeds)
-    edges = stored(edges.join(seeded.select("p"), "p"), "pii-graph")
-    score = edges.withColumn("score", F.col("seed").cast("double"))
-    confidence = None
-    for k in range(rounds):
-        confidence = score.groupBy("p").agg(F.sum("seed").alias("seeds"), (F.sum("score") / (F.count(F.lit(1)) + PRIOR)).alias("c"))
-        confidence = stored(confidence, "pii-patterns")
-        if k + 1 < rounds:
-            means = edges.filter("seed = 0").join(confidence, "p").groupBy("v").agg(F.avg("c").alias("m"))
-            score = edges.join(means, "v", "left").select("p", "v", "seed", F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("m", F.lit(0.0))).alias("score"))
-    return found, confidence.filter((F.col("c") >= min_confidence) & (F.col("seeds") >= min_seeds)).select("p")
+    # a pattern of fewer different instances never has enough seeds; of the others all instances stay
+    wide = edges.groupBy("p").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_seeds)
+    edges = stored(edges.join(wide.select("p"), "p"), "pii-graph")
+    # per instance: its score, and whether it counts as a seed; unknown ones begin at zero
+    state = stored(edges.groupBy("v").agg(F.max("seed").alias("fixed")).select("v", "fixed", F.col("fixed").alias("seed"), F.col("fixed").cast("double").alias("score")), "pii-instances")
+    seeds, idle = 0, -1
+    while True:
+        scored = edges.select("p", "v").join(state, "v")
+        patterns = scored.groupBy("p").agg(F.sum("seed").alias("seeds"), (F.sum("score") / (F.count(F.lit(1)) + PRIOR)).alias("c"))
+        patterns = stored(patterns, "pii-patterns")
+        now = state.agg(F.sum("seed")).first()[0] or 0
+        idle = 0 if now > seeds else idle + 1  # seeds only ever grow, so this ends
+        if idle == PATIENCE or not now:
+            return found, patterns.filter((F.col("c") >= min_confidence) & (F.col("seeds") >= min_seeds)).select("p")
+        seeds = now
+        # only patterns that have enough seeds speak for an instance's promotion
+        met = edges.select("p", "v").join(patterns, "p").groupBy("v").agg(F.avg("c").alias("m"), F.max(F.when(F.col("seeds") >= min_seeds, F.col("c"))).alias("best"))
+        new = state.join(met, "v")
+        up = (F.col("seed") == 1) | (F.col("best") >= min_confidence)
+        state = stored(new.select("v", "fixed", up.cast("int").alias("seed"), F.when(up, F.lit(1.0)).otherwise(F.col("m")).alias("score")), "pii-instances")
 
 
 def _extra(text: str, spans: list, accepted: frozenset) -> list[tuple[int, int, int]]:
