@@ -42,16 +42,17 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest
 FROM t
 """
 
+#: Documents and items are different rows (id and text).
 DECONTAMINATION_SQL = """
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
-i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark WHERE text IS NOT NULL),
-v AS (SELECT item_id, ws, least(len(ws), 5) AS k FROM i WHERE len(ws) > 0),
+WITH d AS (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ws, row_number() OVER () AS doc FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+i AS (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ws, row_number() OVER () AS item FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+v AS (SELECT item, ws, least(len(ws), 5) AS k FROM i WHERE len(ws) > 0),
 w AS (SELECT DISTINCT k FROM v),
-s AS (SELECT DISTINCT item_id, k, unnest([array_to_string(ws[j : j + k - 1], ' ') FOR j IN range(1, len(ws) - k + 2)]) AS h FROM v),
-q AS (SELECT item_id, count(*) AS n_item FROM s GROUP BY item_id),
-e AS (SELECT DISTINCT doc_id, k, unnest([array_to_string(ws[j : j + k - 1], ' ') FOR j IN range(1, len(ws) - k + 2)]) AS h FROM d, w WHERE len(ws) >= k),
-m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM e JOIN s USING (k, h) GROUP BY doc_id, item_id)
-SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM m JOIN q USING (item_id) WHERE n_shared >= 0.8 * n_item - 1e-9
+s AS (SELECT DISTINCT item, k, unnest([array_to_string(ws[j : j + k - 1], ' ') FOR j IN range(1, len(ws) - k + 2)]) AS h FROM v),
+q AS (SELECT item, count(*) AS n_item FROM s GROUP BY item),
+e AS (SELECT DISTINCT doc, k, unnest([array_to_string(ws[j : j + k - 1], ' ') FOR j IN range(1, len(ws) - k + 2)]) AS h FROM d, w WHERE len(ws) >= k),
+m AS (SELECT doc, item, count(*) AS n_shared FROM e JOIN s USING (k, h) GROUP BY doc, item)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM m JOIN q USING (item) JOIN d USING (doc) JOIN i USING (item) WHERE n_shared >= 0.8 * n_item - 1e-9
 """
 
 
