@@ -8,7 +8,9 @@ trigram (the hex rule) scan every text in full.
 
 Spans are code points: the text is split at the matches, and lengths of pieces and matches are summed.
 
-Cases: null text counts as empty; rows that share a doc_id are candidates together and verified each by itself; null
+The matches of a text are placed chunk by chunk, so a text with a million of them takes no quadratic copying.
+
+Cases: null text counts as empty; texts of any length are read whole; rows that share a doc_id are candidates together and verified each by itself; null
 doc_ids match null-safely; empty tables give empty results; extra columns are ignored.
 """
 
@@ -52,6 +54,8 @@ RULES = (
 )
 #: Most strings followed through a regex before its trigrams so far are taken, and most conjunctions of a rule.
 STRINGS, CONJUNCTIONS = 32, 64
+#: Matches of a text that are placed together.
+CHUNK = 256
 
 
 def _both(a: set[frozenset], b: set[frozenset]) -> set[frozenset]:
@@ -144,21 +148,24 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     pieces = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x))
     whole = F.transform(F.regexp_extract_all(text, java, F.lit(0)), lambda x: F.length(x))
     part = F.transform(F.regexp_extract_all(text, java, F.lit(rule.group)), lambda x: F.length(x)) if rule.group else whole
-    empty = F.array().cast("array<struct<s:int,e:int,n:int>>")
-    steps = F.arrays_zip(pieces.alias("a"), whole.alias("b"), part.alias("c"))
     # the last piece has no match after it: its b is null
-    folded = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["a"] + F.coalesce(x["b"], F.lit(0))).alias("at"),
-            F.when(x["b"].isNull() | (x["c"] < rule.least), acc["out"])
-            .otherwise(F.concat(acc["out"], F.array(F.struct((acc["at"] + x["a"]).alias("s"), (acc["at"] + x["a"] + x["b"]).alias("e"), x["c"].alias("n")))))
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.transform(folded, lambda x: F.struct(x["s"].alias("s"), F.lit(order).alias("k"), x["e"].alias("e"), F.lit(rule.kind).alias("kind")))
+    steps = F.filter(F.arrays_zip(pieces.alias("a"), whole.alias("b"), part.alias("c")), lambda x: x["b"].isNotNull())
+    # an array that grows by one is copied each time, so it grows by chunks, each grown by itself
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(steps), F.lit(1)), F.lit(CHUNK)), lambda k: k <= F.size(steps))
+    empty = F.array().cast("array<struct<s:int,e:int,n:int>>")
+
+    def one(acc, x):
+        s = acc["at"] + x["a"]
+        return F.struct((s + x["b"]).alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), (s + x["b"]).alias("e"), x["c"].alias("n")))).alias("out"))
+
+    def chunk(acc, xs):
+        inner = F.aggregate(xs, F.struct(acc["at"].alias("at"), empty.alias("out")), one)
+        return F.element_at(F.transform(F.array(inner), lambda i: F.struct(i["at"].alias("at"), F.concat(acc["all"], F.array(i["out"])).alias("all"))), 1)
+
+    chunks = F.transform(starts, lambda k: F.slice(steps, k, CHUNK))
+    nested = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<s:int,e:int,n:int>>>").alias("all")), chunk, lambda acc: acc["all"])
+    kept = F.filter(F.flatten(nested), lambda x: x["n"] >= rule.least)
+    return F.transform(kept, lambda x: F.struct(x["s"].alias("s"), F.lit(order).alias("k"), x["e"].alias("e"), F.lit(rule.kind).alias("kind")))
 
 
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:

@@ -86,6 +86,31 @@ def test_pii_discovers_and_redacts(spark):
     assert out[3] == "please write to mailbox [EMAIL] today and rest" and out[101].startswith("please write to mailbox [CONTEXT]") and out[200] == plain[0][1]
 
 
+def test_pii_snowball(spark):
+    """An identifier found by one pattern admits another that no format shows, which finds more."""
+    one = [(i, f"mail the mailbox user{i}@example.com by noon") for i in range(40)]
+    # the same member numbers in the context of the mails, and in a second context of their own
+    both = [(100 + i, f"mail the mailbox MB-{i}-77 by noon") for i in range(10)] + [(200 + i, f"the bearer of badge MB-{i}-77 may enter") for i in range(10)]
+    more = [(300, "the bearer of badge ZX-999-1 may enter")]
+    plain = [(400 + i, f"chapter and verse {1000 + i} are missing") for i in range(20)]
+    df = spark.createDataFrame(one + both + more + plain, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    assert got[300].spans == "context:20:28" and all(got[200 + i].n_context == 1 for i in range(10))
+    assert all(got[400 + i].spans == "" for i in range(20))
+    # without the mails nothing is found
+    rest = {r.doc_id: r.spans for r in pii.find(df.filter("doc_id >= 200")).collect()}
+    assert set(rest.values()) == {""}
+
+
+def test_pii_long_words_and_identifiers(spark):
+    wide = "w" * 200
+    seed = [(i, f"{wide}A {wide}b user{i}@example.com today") for i in range(20)]
+    long_ = "K-" + "7" * 150
+    other = [(100, f"{wide}A {wide}b {long_} today"), (101, f"{wide}C {wide}d {long_}9 today")]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(seed + other, "doc_id long, text string")).collect()}
+    assert got[100] == f"context:404:{404 + len(long_)}" and got[101] == ""
+
+
 def test_pii_redact_keeps_columns(odd):
     out = pii.redact(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
@@ -211,6 +236,15 @@ def test_secrets(spark, docs, odd):
     assert spans[901] == "github:0:44,pem:45:76"
 
 
+def test_secrets_many_matches(spark):
+    """More matches than a chunk, and than a hundred of them, in one text."""
+    texts = [(1, "token=abcdef " * 1000), (2, " ".join(f"{'0123456789abcdef' * 2} x" for _ in range(30_000))), (3, "key " * 10), (4, "token=abcdef " * secrets.CHUNK)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.query(df).collect()}
+    assert all(got[i].base_sha256 == hashlib.sha256(slow_secrets(t).encode()).hexdigest() for i, t in texts)
+    assert (got[1].n_assign, got[2].n_hex, got[4].n_assign) == (1000, 30_000, secrets.CHUNK)
+
+
 def test_trigram_queries():
     q = secrets.queries_of()
     assert q["hex"] is None and q["access"] == [frozenset({"aki", "kia"})]
@@ -462,6 +496,18 @@ def test_decontamination(spark, docs):
     assert decontaminate.clean(clash, items).columns == clash.columns
 
 
+def test_decontamination_keeps_items_and_rows_apart(spark):
+    """Null and repeated ids on either side lose nothing and take nothing with them."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(12)) for x in "abcd")
+    items = spark.createDataFrame([(None, a), (7, b), (7, c), (7, c), (None, None), (8, "")], "item_id long, text string")
+    rows_ = [(1, a), (None, f"x {b} y"), (None, "nothing of it here at all"), (2, c), (2, "clean words that stay in the corpus"), (2, c), (3, d), (None, None)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    got = Counter((r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontaminate.find(docs, items).collect())
+    assert got == Counter({(1, None, 8, 8): 1, (None, 7, 8, 8): 1, (2, 7, 8, 8): 1})
+    kept = Counter(tuple(r) for r in decontaminate.clean(docs, items).collect())
+    assert kept == Counter([r for r in rows_ if r[1] not in (a, f"x {b} y", c)])
+
+
 # ---- fingerprints
 
 
