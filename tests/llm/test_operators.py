@@ -615,13 +615,54 @@ def test_association_rules(spark):
     df = spark.createDataFrame(data, "url string, bad boolean")
     mined = urls.mine(df, min_support=0.01)
     got = {tuple(sorted(r.tokens)): r.confidence for r in mined.collect()}
-    assert ("host=bad",) in got and ("host=spam", "path=buy") in got and all(c == 1 for c in got.values())
+    assert set(got) == {("host3=bad",), ("host3=spam", "path=buy")} and all(c == 1 for c in got.values())
     pages = spark.createDataFrame([(1, "http://spam.example.com/buy/x"), (2, "http://spam.example.com/read/x"), (3, "https://bad.example.org/"), (4, None)], "page_id long, url string")
     out = {r.page_id: r.verdict for r in urls.judge(pages, urls.RULES, mined).collect()}
     assert out == {1: "block", 2: "allow", 3: "block", 4: "allow"}
     assert urls.mine(df.limit(0)).count() == 0
 
 
+def slow_rules(data, least, min_confidence=urls.MIN_CONFIDENCE, min_lift=urls.MIN_LIFT):
+    """All sets of tokens, counted one by one."""
+    from itertools import combinations
+
+    count, bad_count = Counter(), Counter()
+    for tokens, bad in data:
+        for k in range(1, len(tokens) + 1):
+            for c in combinations(sorted(tokens), k):
+                count[c] += 1
+                bad_count[c] += bad
+    total, bad = len(data), sum(b for _, b in data)
+    rules = {c: n / count[c] for c, n in bad_count.items() if n >= least and n / count[c] >= max(min_confidence, min(1.0, min_lift * bad / total))}
+    return {c: p for c, p in rules.items() if not any(set(d) < set(c) and q >= p for d, q in rules.items())}
+
+
+def test_association_rules_against_brute_force(spark):
+    """Rules of up to six tokens, with bad URLs in the majority as well."""
+    for share in (0.3, 0.85):
+        rng = np.random.default_rng(8)
+        data = []
+        for i in range(1500):
+            words = [f"w{k}" for k in range(9) if rng.random() < 0.55]
+            bad = set(words) >= {"w0", "w1", "w2", "w3", "w4"} or set(words) >= {"w6", "w7"} and rng.random() < 0.9 or rng.random() < (share if share > 0.5 else 0.1)
+            data.append((f"http://x.com/{'/'.join(words)}/{i}", bool(bad)))
+        df = spark.createDataFrame(data, "url string, bad boolean")
+        got = {tuple(sorted(r.tokens)): r.confidence for r in urls.mine(df, min_support=0.01).collect()}
+        # host1=com and host2=x come with the same URLs, and so are one
+        want = slow_rules([([f"path={w}" for w in u.split("/")[3:-1] if w] + ["host1=com"], b) for u, b in data], 20)
+        assert got == pytest.approx(want) and want and (share > 0.5 or max(map(len, want)) >= 5)
+
+
+def test_urls_mined_on_whole_tables(spark):
+    """Labels that do hang on the address give verdicts by mined rules."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    bad = F.col("url").contains("/fr/") & F.col("url").contains("?")
+    labelled = pages.withColumn("bad", bad).select("url", "bad")
+    mined = urls.mine(labelled)
+    out = urls.judge(pages.withColumn("bad", bad), [], mined).join(pages.select("page_id", bad.alias("bad")), "page_id")
+    assert out.filter((F.col("verdict") == "block") != F.col("bad")).count() == 0 and out.filter("bad").count() > 50
+
+
 # ---- language
 
 
