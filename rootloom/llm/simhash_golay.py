@@ -12,9 +12,14 @@ fingerprints is not joined with itself: its members go through their midpoints i
 two bits exactly if a word lies within one bit of both, so linking all fingerprints around each such word (65 at most)
 gives the same components with 65 rows a fingerprint, however large the bucket.
 
+deduplicate() keeps one document of each group.  Two bits are less than most near copies differ by, so beside these
+links it takes those of near_copies (Jaccard similarity of 5-word shingles, 0.8 or more), and groups are the components
+of both.
+
 Cases: null and empty texts have fingerprint zero and link like any other; fewer than three words are one shingle;
-repeated rows share a component; null doc_ids take part, and are component_id only where no other id is reachable; an
-empty table gives an empty result; extra columns are ignored.
+repeated rows share a component; null doc_ids take part, and are component_id only where no other id is reachable;
+texts of any length are read whole; an empty table gives an empty result; extra columns are ignored by query() and kept
+by deduplicate().
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import components, row_map, stored, unused
 
 SEED, WORDS, RADIUS = 42, 3, 2
@@ -150,18 +156,38 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return prints.join(stored(ids, "component-ids"), "fp").select("doc_id", "th", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Rows of docs, one of each component: that with the least (doc_id, text hash); of repeated rows, one."""
-    found = stored(near_duplicates(docs, bucket), "near-duplicates")
-    part = F.col("component_id")  # null where no row of the component has an id; the fingerprint tells those apart
-    keep = found.groupBy(part.alias("c"), F.when(part.isNull(), F.col("fp")).alias("f")).agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.doc_id", "k.th")
-    keep = stored(keep.distinct(), "kept")
+def near_copies_roots(docs: DataFrame, similarity: float | None = near_copies.SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, th, root) for every row: rows of one root are linked by fingerprints, or by that similarity if given."""
+    if similarity is None:
+        found = near_duplicates(docs, bucket)
+        # null where no row of the component has an id; the fingerprint tells those apart
+        root = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
+        return stored(found.select("doc_id", "th", root.alias("root")), "near-roots")
+    found = near_copies.prints(docs, similarity, lambda text: signed(fingerprint(text)))
+    near = near_copies.links(found, docs, similarity)
+    nodes = stored(found.select("fp", "node").distinct(), "fingerprint-nodes")
+    roots = components(links(nodes.select("fp").distinct(), bucket))
+    named = stored(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("group")), "fingerprint-groups")
+    first = named.groupBy("group").agg(F.min("node").alias("a"))
+    star = named.join(first, "group").select("a", F.col("node").alias("b")).filter("a <> b")
+    roots = components(near.union(star))
+    return stored(found.select("doc_id", "th", "node").join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root")), "near-roots")
+
+
+def deduplicate(docs: DataFrame, similarity: float | None = near_copies.SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+    """Rows of docs, one of each group: that with the least (doc_id, text hash), ids before none; of repeated rows, one.
+
+    similarity: None links by fingerprints alone.
+    """
+    found = near_copies_roots(docs, similarity, bucket)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    keep = stored(found.groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.th").distinct(), "kept")
     cols = docs.columns
     own, i, h = unused(docs, "_th", "_id", "_h")
     d = docs.withColumn(own, F.xxhash64("text"))
     out = d.join(keep.select(F.col("doc_id").alias(i), F.col("th").alias(h)), (F.col(own) == F.col(h)) & F.col("doc_id").eqNullSafe(F.col(i)), "left_semi")
-    many = found.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(keep, ["doc_id", "th"], "left_semi")
-    if many.limit(1).count():
+    many = found.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(keep.filter("doc_id is not null"), ["doc_id", "th"], "left_semi")
+    if many.limit(1).count() or keep.filter("doc_id is null").limit(1).count():
         out = out.dropDuplicates(["doc_id", own])
     return out.select(*cols)
 
