@@ -106,18 +106,38 @@ def caller_prefix(callers: Column) -> Column:
     return F.array_join(F.transform(F.reverse(callers), lambda x: F.concat(x, F.lit("|"))), "")
 
 
+def _hex_number(text: Column) -> Column:
+    digits = F.conv(F.regexp_replace(text, "^-?(0[xX])?", ""), 16, 10).cast("long")
+    return F.when(text.startswith("-"), -digits).otherwise(digits)
+
+
 def parse_expression(text: Column) -> Column:
-    """`type|reg + off + k*reg2` to struct(kind, reg, off, shift, off_reg); absent parts are null (shift 0)."""
-    body = F.regexp_replace(F.substring_index(text, "|", -1), r"\s+", "")
-    pick = lambda p, g=1: F.nullif(F.regexp_extract(body, p, g), F.lit(""))
-    scaled = r"(?:^|\+)(-?[0-9]+|0x[0-9a-fA-F]+)\*([A-Za-z][A-Za-z0-9]*)|(?:^|\+)([A-Za-z][A-Za-z0-9]*)\*(-?[0-9]+)"
-    return F.struct(
-        F.when(text.contains("|"), F.substring_index(text, "|", 1)).alias("kind"),
-        pick(r"(?:^|\+)([A-Za-z][A-Za-z0-9]*)(?=\+|-|$)").alias("reg"),
-        F.coalesce(pick(r"(?:^|[+])(-?[0-9]+)(?=\+|$)"), pick(r"[A-Za-z0-9](-[0-9]+)(?=\+|$)")).cast("long").alias("off"),
-        F.coalesce(pick(scaled, 1), pick(scaled, 4), F.lit("0")).cast("long").alias("shift"),
-        F.coalesce(pick(scaled, 2), pick(scaled, 3)).alias("off_reg"),
-    )
+    """`type|reg + off + k*reg2` to struct(kind, reg, shift, off, off_reg, off1); numbers are hex, with or without 0x.
+
+    The first number is the offset, the first bare name the register.  A scaled part is the register itself and its factor
+    if there is no other; beside one it is the register that the offset is multiplied with, its factor (if not 1) the
+    offset, and an offset given as well becomes off1.  Without text the kind is `empty`.
+    """
+    body = F.regexp_replace(F.regexp_replace(F.substring_index(text, "|", -1), r"\s+", ""), r"(?<=[A-Za-z0-9])-", "+-")
+    parts = F.filter(F.split(body, r"\+"), lambda x: x != "")
+    number = lambda x: x.rlike("^-?(0[xX])?[0-9a-fA-F]+$")
+    first = lambda p: F.get(F.filter(parts, p), F.lit(0))
+    none = F.lit(None).cast("string")
+    start = F.struct(first(lambda x: ~x.contains("*") & ~number(x)).alias("reg"), F.lit("0").alias("shift"), F.coalesce(first(number), F.lit("0")).alias("off"), none.alias("off1"), none.alias("off_reg"))
+
+    def scaled(at: Column, x: Column) -> Column:
+        a, b = F.split_part(x, F.lit("*"), F.lit(1)), F.split_part(x, F.lit("*"), F.lit(2))
+        n, reg = F.when(number(b), b).otherwise(a), F.when(number(b), a).otherwise(b)
+        plain, given = at["reg"].isNull(), (n != "1") & (at["off"] != "0")
+        return F.struct(
+            F.coalesce(at["reg"], reg).alias("reg"), F.when(plain, n).otherwise(at["shift"]).alias("shift"), F.when(plain | (n == "1"), at["off"]).otherwise(n).alias("off"),
+            F.when(~plain & given, at["off"]).otherwise(at["off1"]).alias("off1"), F.when(plain, at["off_reg"]).otherwise(reg).alias("off_reg"),
+        )
+
+    empty = F.coalesce(F.trim(text) == "", F.lit(True))
+    found = F.element_at(F.transform(F.array(F.aggregate(F.filter(parts, lambda x: x.contains("*")), start, scaled)), lambda s: F.struct(s["reg"].alias("reg"), _hex_number(s["shift"]).alias("shift"), _hex_number(s["off"]).alias("off"), s["off_reg"].alias("off_reg"), _hex_number(s["off1"]).alias("off1"))), 1)
+    kind = F.when(empty, "empty").when(text.contains("|"), F.substring_index(text, "|", 1))
+    return F.struct(kind.alias("kind"), *[F.when(~empty, found[c]).alias(c) for c in ("reg", "shift", "off", "off_reg", "off1")])
 
 
 def normalised_disassembly(text: Column) -> Column:

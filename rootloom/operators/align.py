@@ -93,11 +93,19 @@ def ordinal(insns: DataFrame, keys: list[str], start: int = 1) -> DataFrame:
     return insns.withColumn("ordinal", F.row_number().over(Window.partitionBy(*keys).orderBy("insn")) + F.lit(start - 1)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
 
 
-def containing(points: DataFrame, ranges: DataFrame, page_bits: int = 12) -> DataFrame:
-    """points(insn) with the ranges(first, last, ...) that hold them: an equi-join on address pages, then the test."""
-    p = points.withColumn("_page", F.shiftright("insn", page_bits))
-    r = ranges.withColumn("_page", F.explode(F.sequence(F.shiftright("first", page_bits), F.shiftright("last", page_bits))))
-    return p.join(r, "_page").filter(F.col("insn").between(F.col("first"), F.col("last"))).drop("_page")
+def containing(points: DataFrame, ranges: DataFrame, step: int = 4) -> DataFrame:
+    """points(insn) with the ranges(first, last, ...) that hold them: an equi-join on address pages, then the test.
+
+    A range's pages are as large as itself, to the next of every `step` powers of two, so it covers two at most; points
+    are asked once for each size in use, 64 / step at most.
+    """
+    bits = F.ceil(F.log2((F.col("last") - F.col("first") + 1).cast("double")) / step).cast("int") * step
+    r = ranges.filter(F.col("last") >= F.col("first")).withColumn("_bits", F.greatest(bits, F.lit(step)))
+    r = r.withColumn("_page", F.explode(F.array_distinct(F.array(F.call_function("shiftright", F.col("first"), F.col("_bits")), F.call_function("shiftright", F.col("last"), F.col("_bits"))))))
+    used = sorted(x["_bits"] for x in r.select("_bits").distinct().collect())  # 64 / step at most
+    p = points.withColumn("_bits", F.explode(F.array(*[F.lit(b) for b in used]).cast("array<int>")))
+    p = p.withColumn("_page", F.call_function("shiftright", F.col("insn"), F.col("_bits")))
+    return p.join(r, ["_bits", "_page"]).filter(F.col("insn").between(F.col("first"), F.col("last"))).drop("_page", "_bits")
 
 
 def nearest_range(points: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
@@ -140,3 +148,27 @@ def common_lines(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def known_files(rows: DataFrame, file: str | Column = "file") -> DataFrame:
     return rows.filter((F.col(file) if isinstance(file, str) else file) != UNKNOWN_FILE)
+
+
+def match_lines(left: DataFrame, right: DataFrame, lines: DataFrame) -> DataFrame:
+    """left/right(insn, file, line) by lines(file, left_line, right_line): (insn, other_insn) of instructions on matching lines."""
+    a = left.select("insn", "file", F.col("line").alias("left_line")).join(lines, ["file", "left_line"])
+    return a.join(right.select(F.col("insn").alias("other_insn"), "file", F.col("line").alias("right_line")), ["file", "right_line"]).select("insn", "other_insn")
+
+
+def match_groups_by_line(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left/right(grp, file, line, idx, total): each left group with its right one (other), or null.
+
+    The index must agree where the totals do; else the line alone decides, and of its groups the least index.
+    """
+    o = right.select("file", "line", F.col("grp").alias("other"), F.col("idx").alias("_i"), F.col("total").alias("_t"))
+    same = F.col("total").eqNullSafe(F.col("_t")) & F.col("total").isNotNull()
+    fits = ~same | (F.col("idx") == F.col("_i"))
+    best = left.join(o, ["file", "line"]).filter(fits).groupBy("grp").agg(F.min_by("other", F.struct((~same).alias("short"), "_i", "other")).alias("other"))
+    return left.join(best, "grp", "left").select("grp", "other")
+
+
+def block_facts(insns: DataFrame) -> DataFrame:
+    """insns(bb, insn): of each instruction the next in its block, and the block's first and last."""
+    w = Window.partitionBy("bb")
+    return insns.withColumn("next", F.lead("insn").over(w.orderBy("insn"))).withColumn("first", F.min("insn").over(w)).withColumn("last", F.max("insn").over(w))

@@ -5,14 +5,21 @@ Left is the slow run, right the fast one.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import backward_impact, boosted, forward_impact, negative_event
 from ..storage import stored
+from .graph import reach
 
-#: Root of the Kolmogorov series at p = 0.95: samples count as equal if D sqrt(nm / (n + m)) is below it.
-KS_ROOT = 0.51961
+#: Samples up to which the Kolmogorov-Smirnov test is exact; above, its limit serves.
+KS_EXACT = 10_000
 
 
 def match_groups(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -49,7 +56,7 @@ def one_sided(relations: DataFrame, symptom: str = "symptom") -> DataFrame:
 
 
 def ks_distance(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """left/right(keys, c, n) histograms: the two-sample Kolmogorov-Smirnov distance d, sizes, and equal (p > 0.95).
+    """left/right(keys, c, n) histograms: the two-sample Kolmogorov-Smirnov distance d, and the sizes.
 
     The distributions are merged as histograms, so a key costs its number of different counts, not of events.
     """
@@ -58,43 +65,63 @@ def ks_distance(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     w = Window.partitionBy(*keys).orderBy("c").rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(*keys)
     gap = F.abs(F.sum("a").over(w) / F.nullif(F.sum("a").over(every), F.lit(0)) - F.sum("b").over(w) / F.nullif(F.sum("b").over(every), F.lit(0)))
-    d = both.withColumn("_g", gap).groupBy(*keys).agg(F.max("_g").alias("d"), F.sum("a").alias("n_left"), F.sum("b").alias("n_right"))
-    scaled = F.col("d") * F.sqrt(F.col("n_left") * F.col("n_right") / (F.col("n_left") + F.col("n_right")))
-    return d.withColumn("equal", scaled < KS_ROOT)
-
-
-def ks_exact(d: float, n: int, m: int) -> float:
-    """Exact two-sided p-value of a distance d: the share of lattice paths from (0, 0) to (n, m) that reach it."""
-    from fractions import Fraction
+    return both.withColumn("_g", gap).groupBy(*keys).agg(F.max("_g").alias("d"), F.sum("a").alias("n_left"), F.sum("b").alias("n_right"))
 
-    edge = d - 1e-9
-    row = [Fraction(0)] * (m + 1)
-    for i in range(n + 1):
-        for j in range(m + 1):
-            if abs(i / n - j / m) >= edge:
-                row[j] = Fraction(0)
-            elif i == j == 0:
-                row[j] = Fraction(1)
-            else:
-                up = row[j] if i else Fraction(0)
-                row[j] = up + (row[j - 1] if j else Fraction(0))
-    from math import comb
 
-    return float(1 - row[m] / comb(n + m, n))
+@lru_cache(maxsize=65_536)
+def ks_p(h: int, n: int, m: int) -> float:
+    """Two-sided p-value of the distance h / (n m) between samples of n and m: exact up to KS_EXACT, else the limit.
 
-
-def ks_test(distances: DataFrame, most: int = 400) -> DataFrame:
-    """distances from ks_distance() with p and method: exact lattice paths where n_left n_right is at most `most`, else the asymptotic test."""
-    import pandas as pd
+    Exact: the share of lattice paths from (0, 0) to (n, m) that leave |i m - j n| < h, diagonal by diagonal, as the
+    chance that a random path does.
+    """
+    if h <= 0:
+        return 1.0
+    if max(n, m) > KS_EXACT:
+        en = n * m / (n + m)
+        x = h / (n * m) * math.sqrt(en)
+        x += 1 / (6 * math.sqrt(en)) + (x - 1) / (4 * en)
+        if x <= 0:
+            return 1.0
+        if x < 1:
+            return 1 - math.sqrt(2 * math.pi) / x * sum(math.exp(-((2 * k - 1) ** 2) * math.pi**2 / (8 * x * x)) for k in range(1, 20))
+        return 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 20))
+    inside, first = np.ones(1), 0  # chances of i = first, first + 1, ...
+    for s in range(1, n + m + 1):
+        left = n + m - s + 1
+        i = np.arange(first, first + len(inside))
+        wide = np.zeros(len(inside) + 1)
+        wide[1:] = inside * (n - i) / left
+        wide[:-1] += inside * (m - (s - 1 - i)) / left
+        low = max(first, s - m, 0, (s * n - h) // (n + m) + 1)
+        high = min(first + len(inside), s, n, -((-s * n - h) // (n + m)) - 1)
+        if high < low:
+            return 1.0
+        inside, first = wide[low - first : high - first + 1], low
+    return float(1 - inside.sum())
+
+
+def ks_equal(v: Sequence, n: Sequence, w: Sequence, m: Sequence, least: float = 0.95) -> bool:
+    """Whether two samples, values v and w, n and m times each, are equal: p above `least`."""
+    total_n, total_m = int(np.sum(n)), int(np.sum(m))
+    if not total_n or not total_m:
+        return False
+    at = np.union1d(v, w)
+    a, b = (np.zeros(len(at), np.int64) for _ in range(2))
+    np.add.at(a, np.searchsorted(at, v), n)
+    np.add.at(b, np.searchsorted(at, w), m)
+    h = int(np.abs(a.cumsum() * total_m - b.cumsum() * total_n).max())
+    return ks_p(h, total_n, total_m) > least
+
+
+def ks_test(distances: DataFrame, least: float = 0.95) -> DataFrame:
+    """distances from ks_distance() with p, and equal: p above `least`."""
 
     @F.pandas_udf("double")
-    def exact(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-        return pd.Series([ks_exact(x, int(a), int(b)) if a and b else None for x, a, b in zip(d, n, m, strict=True)], dtype="float64")
+    def test(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([ks_p(round(x * int(a) * int(b)), int(a), int(b)) if a and b else None for x, a, b in zip(d, n, m, strict=True)], dtype="float64")
 
-    small = F.col("n_left") * F.col("n_right") <= most
-    a = distances.filter(small).withColumn("p", exact("d", "n_left", "n_right")).withColumn("method", F.lit("exact")).withColumn("equal", F.col("p") > 0.95)
-    b = distances.filter(~small).withColumn("p", F.lit(None).cast("double")).withColumn("method", F.lit("asymptotic"))
-    return a.unionByName(b)
+    return distances.withColumn("p", test("d", "n_left", "n_right")).withColumn("equal", F.coalesce(F.col("p") > least, F.lit(False)))
 
 
 def pass_rates(counts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -102,10 +129,26 @@ def pass_rates(counts: DataFrame, nodes: DataFrame) -> DataFrame:
     return counts.join(nodes, "node").filter("n > 0 and total > 0").withColumn("rate", F.col("n") / F.col("total"))
 
 
+def def_use_rates(flow: DataFrame, counts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(def, use, branch, target, rate): for each data-flow edge, the pass rates of the use and of all that it flows on to.
+
+    flow(src, dst): data flow between instructions; counts(branch, target, n): control flow passed; nodes(node, total).
+    The walk goes through instructions that have counts, from executed definitions.
+    """
+    known = stored(counts.select(F.col("branch").alias("node")).distinct())
+    ran = nodes.filter("total > 0")
+    pairs = flow.select(F.col("src").alias("def"), F.col("dst").alias("use")).distinct().join(ran.select(F.col("node").alias("def")), "def", "left_semi")
+    within = flow.select("src", "dst").join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    uses = pairs.select(F.col("use").alias("node")).distinct().join(known, "node", "left_semi")
+    met = reach(within.select(F.col("dst").alias("src"), F.col("src").alias("dst")), uses, True)  # (node, target): from the use on to the node
+    rates = pass_rates(counts.select(F.col("branch").alias("node"), F.col("target").alias("succ"), "n"), ran).select("node", "succ", "rate")
+    return pairs.join(met.withColumnRenamed("target", "use"), "use").join(rates, "node").select("def", "use", F.col("node").alias("branch"), F.col("succ").alias("target"), "rate")
+
+
 def pass_rate_impact(left: DataFrame, right: DataFrame, keys: list[str], points: float = 5.0) -> DataFrame:
-    """Rates that differ by more than so many points; both runs must have them."""
-    j = left.select(*keys, F.col("rate").alias("l")).join(right.select(*keys, F.col("rate").alias("r")), keys)
-    return j.withColumn("impact", F.abs(F.col("l") - F.col("r")) * 100).filter(F.col("impact") > points)
+    """(keys, impact) of the left's rates that exceed the right's by more than so many points; a rate that the right lacks is 0."""
+    j = left.select(*keys, F.col("rate").alias("l")).join(right.select(*keys, F.col("rate").alias("r")), keys, "left")
+    return j.withColumn("r", F.coalesce("r", F.lit(0.0))).withColumn("impact", (F.col("l") - F.col("r")) * 100).filter(F.col("impact") > points)
 
 
 def children_differ(pairs: DataFrame) -> DataFrame:
@@ -122,13 +165,19 @@ def impacts(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("forward", f).withColumn("backward", F.when(b > f, b).otherwise(F.lit(0.0)))
 
 
-def successor_discount(successors: DataFrame, keys: list[str], own: str = "own", forward: str = "forward") -> DataFrame:
-    """successors(keys, own, forward, impact, weight): by descending impact the sum of impact * weight / 100, capped at own.
+def accumulate(nodes: DataFrame, successors: DataFrame, keys: list[str], own: str = "own", forward: str = "forward") -> DataFrame:
+    """nodes(keys, own, forward), successors(keys, impact, weight): (keys, new_weight), the weight that the successors explain.
 
-    If the weights sum to less than the forward impact, the rest of it is added.
+    By falling impact they add impact * weight / 100 until the sum exceeds own, which then caps it.  If the weights met so
+    far are less than the forward impact, the rest of it is added; without successors it is the forward impact.
     """
-    g = successors.groupBy(*keys, own, forward).agg(F.sum(F.col("impact") * F.col("weight") / 100).alias("s"), F.sum("weight").alias("w"))
-    return g.select(*keys, F.least(F.col("s") + F.greatest(F.col(forward) - F.col("w"), F.lit(0.0)), F.col(own)).alias("weight"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("impact"), F.desc("weight")).rowsBetween(Window.unboundedPreceding, -1)
+    part = F.col("impact") * F.col("weight") / 100
+    rows = successors.join(nodes.select(*keys, own), keys).withColumn("_part", part).withColumn("_before", F.coalesce(F.sum("_part").over(w), F.lit(0.0)))
+    met = rows.filter(F.col("_before") <= F.col(own)).groupBy(*keys).agg(F.sum("_part").alias("_s"), F.sum("weight").alias("_w"))
+    capped = F.least(F.col("_s"), F.col(own))
+    new = F.when(F.col("_s").isNull(), F.col(forward)).otherwise(capped + F.greatest(F.col(forward) - F.col("_w"), F.lit(0.0)))
+    return nodes.join(met, keys, "left").select(*keys, new.alias("new_weight"))
 
 
 def final_impact(rows: DataFrame) -> DataFrame:
@@ -158,30 +207,30 @@ def corr_score(corr):
 def relaxed_dedupe(rows: DataFrame, keys: list[str], order: str = "score", tolerance: float = 0.1) -> DataFrame:
     """rows(keys, insn, score, ratio, prop): by descending score, a row goes if it equals an earlier kept one up to noise.
 
-    Relaxed equality is not transitive, so each key's report is walked in order.
+    Relaxed equality is not transitive, so each key's report is walked in order; rows of other ratios never meet.
     """
-    import pandas as pd
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        pdf = pdf.sort_values([order, "insn"], ascending=[False, True]).reset_index(drop=True)
-        for k, r in pdf.iterrows():
-            same = lambda q: q["ratio"] == r["ratio"] and (q["prop"] == r["prop"] or abs(q["prop"] - r["prop"]) < 0.01 or (q["prop"] > 0 and abs(q["prop"] - r["prop"]) / q["prop"] < tolerance))  # noqa: B023, E731
-            if not any(same(pdf.loc[q]) for q in kept):
+        pdf = pdf.sort_values([order, "insn"], ascending=[False, True])
+        prop = pdf["prop"].to_numpy(float)
+        kept, held = [], np.zeros(0)
+        for k, p in enumerate(prop):
+            gap = np.abs(held - p)
+            if not ((gap < 0.01) | ((p > 0) & (gap < tolerance * p))).any():
                 kept.append(k)
-        return pdf.loc[kept]
+                held = np.append(held, p)
+        return pdf.iloc[kept]
 
-    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
+    return rows.groupBy(*keys, "ratio").applyInPandas(run, rows.schema)
 
 
 def converged(analyse, left: DataFrame, right: DataFrame, most: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """analyse(run, other) until the difference of the groups stays the same: (left, right, difference)."""
+    """analyse(run, other) until the difference of the groups stays the same: (left, right, difference); an error if it does not."""
     diff = None
     for _ in range(most):
         left = stored(analyse(left, right))
         right = stored(analyse(right, left))
         new = stored(changed_groups(left, right))
         if diff is not None and new.exceptAll(diff).limit(1).count() == 0 and diff.exceptAll(new).limit(1).count() == 0:
-            break
+            return left, right, new
         diff = new
-    return left, right, new
+    raise RuntimeError(f"the groups still change after {most} rounds")

@@ -38,11 +38,22 @@ def nearest_definition(trace: DataFrame, static: DataFrame, keys: Sequence[str]
     return found.filter("_use = 1 and _d is not null").select(*keys, F.col("t").alias("dst_t"), F.col("_for").alias("dst"), F.col("_d.t").alias("src_t"), F.col("_d.src").alias("src"))
 
 
-def mask_cover(pairs: DataFrame) -> DataFrame:
-    """pairs(load, mask, store_t, store_mask): the stores a masked load depends on, nearest first, until its mask is covered."""
-    w = Window.partitionBy("load").orderBy(F.col("store_t").desc()).rowsBetween(*BEFORE)
-    left = pairs.withColumn("rest", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce(F.bit_or("store_mask").over(w), F.lit(0).cast("long")))))
-    return left.filter(F.col("rest").bitwiseAND(F.col("store_mask")) != 0)
+def mask_cover(log: DataFrame, is_load: Column, is_store: Column, mask: Column, keys: Sequence[str] = ("addr",), bits: int = 64) -> DataFrame:
+    """(keys, load, mask, store_t, store_mask, rest): the stores a masked load depends on; rest, what nearer stores have left of its mask.
+
+    A load depends on a store if that is the nearest earlier one to write one of its bits; so each bit's last store comes from
+    one window, and loads meet no stores that are not theirs.
+    """
+    w = Window.partitionBy(*keys).orderBy("t").rowsBetween(*BEFORE)
+    rows = log.filter(is_load | is_store).select(*keys, "t", is_load.alias("_l"), is_store.alias("_s"), mask.alias("mask"))
+    bit = lambda b: F.col("mask").bitwiseAND(F.lit(1 << b if b < 63 else -(1 << 63))) != 0
+    last = [F.last(F.when(F.col("_s") & bit(b), F.struct("t", F.col("mask").alias("m"))), ignorenulls=True).over(w) for b in range(bits)]
+    mine = F.array(*[F.when(bit(b), x) for b, x in enumerate(last)])
+    loads = rows.withColumn("_d", mine).filter("_l").withColumn("_d", F.array_sort(F.array_distinct(F.array_compact("_d"))))
+    # the nearest come last in order of time; what a store finds is the mask without all later ones
+    each = loads.select(*keys, F.col("t").alias("load"), "mask", F.col("_d").alias("_all"), F.posexplode("_d").alias("_p", "_x"))
+    later = F.aggregate(F.slice("_all", F.col("_p") + 2, F.size("_all")), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x["m"]))
+    return each.select(*keys, "load", "mask", F.col("_x.t").alias("store_t"), F.col("_x.m").alias("store_mask"), F.col("mask").bitwiseAND(F.bitwise_not(later)).alias("rest"))
 
 
 def attach_operands(trace: DataFrame, operand: Column, target: Column, after: bool, keys: Sequence[str] = ("tid",)) -> DataFrame:
@@ -117,3 +128,42 @@ def definition_class(slices: DataFrame) -> DataFrame:
     where = F.when(F.col("kind") == "empty", "explained").when(F.col("same_as_write"), "intermediate").when(F.col("func") == F.col("use_func"), "local").otherwise("remote")
     n = F.count(F.lit(1)).over(Window.partitionBy("use"))
     return slices.withColumn("where", where).withColumn("or_group", F.when(n > 1, F.col("use")))
+
+
+def executed(nodes: DataFrame, counts: DataFrame) -> DataFrame:
+    """nodes(insn) that ran: those that counts(insn, n) lacks or counts as 0 go."""
+    return nodes.join(counts.filter("n > 0").select("insn").distinct(), "insn", "left_semi")
+
+
+def nonzero(rows: DataFrame, addr: str = "addr") -> DataFrame:
+    """Rows with an address other than 0."""
+    return rows.filter(F.col(addr).isNotNull() & (F.col(addr) != 0))
+
+
+def watchable(pending: DataFrame, keys: Sequence[str], most: int = 1000) -> DataFrame:
+    """pending(keys, addr) of keys with at most so many different addresses; the others are given up whole."""
+    few = pending.groupBy(*keys).agg(F.count_distinct("addr").alias("_n")).filter(F.col("_n") <= most)
+    return pending.join(few.select(*keys), list(keys), "left_semi")
+
+
+def next_watched(pending: DataFrame, keys: Sequence[str], most: int = 2) -> DataFrame:
+    """The addresses that each key watches next: its least ones, as many as there are watchpoints."""
+    w = Window.partitionBy(*keys).orderBy("addr")
+    return pending.select(*keys, "addr").distinct().withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= most).drop("_k")
+
+
+def static_writers(pending: DataFrame, writes: DataFrame) -> DataFrame:
+    """pending(addr) that are statically known to be written, with writes(addr, ...)."""
+    return pending.join(writes, "addr")
+
+
+def nonlocal_requests(loads: DataFrame, explored: DataFrame) -> DataFrame:
+    """loads(insn, func, same_as_write) to ask for definitions elsewhere: not those that read their own write, nor explored(insn, func)."""
+    return loads.filter(~F.coalesce("same_as_write", F.lit(False))).join(explored.select("insn", "func").distinct(), ["insn", "func"], "left_anti")
+
+
+def first_common(rows: DataFrame, item: str, group: str, pos: str = "pos") -> DataFrame:
+    """The item common to all groups that the first group (by name) meets first: one row, or none."""
+    least = rows.agg(F.min(group).alias("_g"))
+    first = rows.join(F.broadcast(least), F.col(group) == F.col("_g"))  # one row
+    return first.join(in_all(rows, item, group), item, "left_semi").orderBy(pos, item).limit(1).select(item)

@@ -7,6 +7,8 @@ analyses run grouped by function.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,34 +19,34 @@ def _some(df: DataFrame) -> bool:
     return df.limit(1).count() > 0
 
 
-def reach(edges: DataFrame, targets: DataFrame, through_targets: bool = False, rounds: int = 10_000) -> DataFrame:
-    """(node, target) for every node with a path to target(node); a target passes nothing on but itself, unless through_targets."""
+def reach(edges: DataFrame, targets: DataFrame, through_targets: bool = False) -> DataFrame:
+    """(node, target) for every node with a path to target(node); a target passes nothing on but itself, unless through_targets.
+
+    Rounds go on until one finds no new pair, so cycles end too.
+    """
     e = stored(edges.select("src", "dst").distinct())
     seeds = stored(targets.select("node").distinct())
     found = stored(seeds.select("node", F.col("node").alias("target")))
-    front, parts = found, [found]
-    for k in range(rounds):
+    front = found
+    for k in count():
         step = e.join(front.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "target")
         if not through_targets:
             step = step.join(seeds, "node", "left_anti")
         front = stored(step.distinct().join(found, ["node", "target"], "left_anti"))
         if not _some(front):
-            break
-        parts.append(front)
+            return found
         found = found.union(front) if k % 8 != 7 else stored(found.union(front))
-    return found
 
 
-def forward_slice(edges: DataFrame, starts: DataFrame, rounds: int = 10_000) -> DataFrame:
+def forward_slice(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Nodes reachable from starts(node)."""
     e = stored(edges.select("src", "dst").distinct())
     found = front = stored(starts.select("node").distinct())
-    for k in range(rounds):
+    for k in count():
         front = stored(e.join(front.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct().join(found, "node", "left_anti"))
         if not _some(front):
-            break
+            return found
         found = found.union(front) if k % 8 != 7 else stored(found.union(front))
-    return found
 
 
 def backward_slice(edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -53,16 +55,22 @@ def backward_slice(edges: DataFrame, targets: DataFrame) -> DataFrame:
     return forward_slice(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), targets)
 
 
-def levels(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(node, level) of an acyclic graph: the longest path to a sink; a node's successors have lower levels."""
+def levels(edges: DataFrame) -> DataFrame:
+    """(node, level) of an acyclic graph: the longest path to a sink; a node's successors have lower levels.
+
+    Only nodes whose level rose join the edges again.  A path longer than there are nodes is a cycle, an error.
+    """
     e = stored(edges.select("src", "dst").distinct())
     best = stored(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("level", F.lit(0)))
-    for _ in range(rounds):
-        up = e.join(best.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg((F.max("level") + 1).alias("up"))
-        new = stored(best.join(up, "node", "left").select("node", "level", F.greatest("level", "up").alias("new")))
-        best = new.select("node", F.col("new").alias("level"))
-        if not _some(new.filter("new > level")):
+    most, front = best.count(), best
+    for _ in range(most):
+        up = e.join(front.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg((F.max("level") + 1).alias("up"))
+        new = stored(best.join(up, "node", "left").select("node", F.greatest("level", "up").alias("level"), F.coalesce(F.col("up") > F.col("level"), F.lit(False)).alias("rose")))
+        best, front = new.select("node", "level"), new.filter("rose").select("node", "level")
+        if not _some(front):
             return best
+    if not most:
+        return best
     raise ValueError("the graph has a cycle")
 
 
@@ -100,19 +108,18 @@ def differing_predecessors(left: DataFrame, right: DataFrame, node) -> DataFrame
     return asymmetric(left.filter(F.col("dst") == F.lit(node)), right.filter(F.col("dst") == F.lit(node)))
 
 
-def paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, most: int = 50) -> DataFrame:
-    """All simple paths (array) of at most `most` edges from starts to targets."""
+def paths(edges: DataFrame, starts: DataFrame, targets: DataFrame) -> DataFrame:
+    """All simple paths (array) from starts to targets; they are as many as the graph has, so trim it first."""
     e, t = edges.select("src", "dst").distinct(), targets.select(F.col("node").alias("dst")).distinct()
     front = starts.select(F.array("node").alias("path"), F.col("node").alias("src"))
     done = None
-    for _ in range(most):
+    while True:
         front = stored(front.join(e, "src").filter(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("src")))
         hit = front.join(t, front["src"] == t["dst"], "left_semi").select("path")
         done = hit if done is None else done.union(hit)
         front = front.join(t, front["src"] == t["dst"], "left_anti")
         if not _some(front):
-            break
-    return done
+            return done
 
 
 def propagate_weights(edges: DataFrame, weights: DataFrame) -> DataFrame:
@@ -136,12 +143,12 @@ def one_level(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return edges.join(starts.select(F.col("node").alias("dst"), "insn"), "dst").select("insn", "src", "dst")
 
 
-def relation_search(static: DataFrame, start, admitted: DataFrame | None = None, rounds: int = 10_000) -> DataFrame:
+def relation_search(static: DataFrame, start, admitted: DataFrame | None = None) -> DataFrame:
     """(node, depth): breadth-first over static predecessors of the symptom; only admitted(node) are expanded."""
     spark = static.sparkSession
     seen = stored(spark.range(1).select(F.lit(start).alias("node"), F.lit(0).alias("depth")))
     front = seen
-    for k in range(1, rounds):
+    for k in count(1):
         grown = front if admitted is None or k == 1 else front.join(admitted.select("node"), "node", "left_semi")
         new = static.join(grown.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(k))
         front = stored(new)
@@ -170,14 +177,65 @@ def dependent_branch(edges: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def converge(step, state: DataFrame, most: int = 100) -> tuple[DataFrame, int]:
-    """Apply step until the rows stay the same, at most so often."""
+    """(rows, rounds): step applied until the rows stay the same; an error if they still change after `most` rounds."""
     state = stored(state)
     for k in range(1, most + 1):
         new = stored(step(state))
         if not _some(new.exceptAll(state)) and not _some(state.exceptAll(new)):
             return new, k
         state = new
-    return state, most
+    raise RuntimeError(f"the rows still change after {most} rounds")
+
+
+def wavefront_search(analyse, start: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Relations of the symptoms, then of their wavefronts, and so on: (relations, node with its round).
+
+    analyse(front) gives (relations, next front(node)) of one round; a node is a symptom once.  most: rounds at most,
+    as a bound on the report (1: the symptoms alone).
+    """
+    seen = stored(start.select("node").distinct().withColumn("round", F.lit(0)))
+    front, found = seen, None
+    for k in count(1):
+        rows, grown = analyse(front.select("node"))
+        rows = stored(rows.withColumn("round", F.lit(k - 1)))
+        found = rows if found is None else found.unionByName(rows)
+        front = stored(grown.select("node").distinct().join(seen, "node", "left_anti").withColumn("round", F.lit(k)))
+        if k == most or not _some(front):
+            return found, seen
+        seen = stored(seen.union(front))
+
+
+def slice_worklist(answers: DataFrame, starts: DataFrame, limit: int | None = None) -> DataFrame:
+    """(insn, func, round): the requests of an interprocedural slice, until none is new or after `limit` rounds.
+
+    answers(insn, func, def_insn, def_func, explained): a request's definitions; those not explained are requests in turn.
+    """
+    a = stored(answers.filter("not explained").select("insn", "func", "def_insn", "def_func").distinct())
+    seen = front = stored(starts.select("insn", "func").distinct().withColumn("round", F.lit(0)))
+    for k in count(1):
+        if limit is not None and k > limit:
+            return seen
+        new = a.join(front.select("insn", "func"), ["insn", "func"]).select(F.col("def_insn").alias("insn"), F.col("def_func").alias("func")).distinct()
+        front = stored(new.join(seen, ["insn", "func"], "left_anti").withColumn("round", F.lit(k)))
+        if not _some(front):
+            return seen
+        seen = stored(seen.union(front))
+
+
+def definitions_before(edges: DataFrame, definitions: DataFrame, uses: DataFrame) -> DataFrame:
+    """(use, node): the first definitions(node) met on each path backwards from uses(node), over edges within and between functions."""
+    e = stored(edges.select("src", "dst").distinct())
+    d = stored(definitions.select("node").distinct())
+    seen = None
+    front = stored(uses.select(F.col("node").alias("use"), "node").distinct())
+    while True:
+        step = e.join(front.withColumnRenamed("node", "dst"), "dst").select("use", F.col("src").alias("node")).distinct()
+        step = stored(step if seen is None else step.join(seen, ["use", "node"], "left_anti"))
+        if not _some(step):
+            break
+        seen = step if seen is None else stored(seen.union(step))
+        front = step.join(d, "node", "left_anti")
+    return (front.limit(0) if seen is None else seen).join(d, "node", "left_semi").select("use", "node")
 
 
 # analyses of single functions, which are small: one group each

@@ -10,8 +10,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 SAMPLE, HOT = 500, 100_000
+#: Records of a trace that are numbered as one stretch, about.
+SPLIT = 4_000_000
 BEFORE = (Window.unboundedPreceding, -1)
 AFTER = (1, Window.unboundedFollowing)
 
@@ -22,8 +26,27 @@ def thread_of_records(raw: DataFrame, keys: Sequence[str] = ("run",)) -> DataFra
     return raw.withColumn("tid", F.first(F.when(F.col("code") == 0, F.col("mark")), ignorenulls=True).over(w)).filter("code <> 0").drop("mark")
 
 
-def occurrence(trace: DataFrame, keys: Sequence[str] = ("code",), order: Sequence[str | Column] = ("t",)) -> DataFrame:
-    return trace.withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+def occurrence(trace: DataFrame, keys: Sequence[str] = ("code",), descending: bool = False, rows: int = SPLIT) -> DataFrame:
+    """trace with occurrence, its number among the records of its keys in order of t, from 1.
+
+    The records of a key are numbered in stretches of t, of about `rows` records of the whole trace each, and shifted by
+    the counts of earlier stretches: no key, however hot, is one task.
+    """
+    low, high, n = trace.agg(F.min("t"), F.max("t"), F.count(F.lit(1))).first()
+    parts = 1 if not n else max(1, -(-n // rows))
+    w = Window.partitionBy(*keys, "_s").orderBy(F.col("t").desc() if descending else F.col("t"))
+    if parts == 1:
+        return trace.withColumn("_s", F.lit(0)).withColumn("occurrence", F.row_number().over(w)).drop("_s")
+    width = max(1, -(-(high - low + 1) // parts))
+    split = trace.withColumn("_s", F.floor((F.col("t") - F.lit(low)) / F.lit(width)).cast("long"))
+    earlier = Window.partitionBy(*keys).orderBy(F.desc("_s") if descending else F.col("_s")).rowsBetween(*BEFORE)
+    before = split.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    same = None
+    for k in (*keys, "_s"):
+        e = F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+        same = e if same is None else same & e
+    numbered = split.withColumn("occurrence", F.row_number().over(w)).alias("a").join(before.alias("b"), same)
+    return numbered.select(*[F.col(f"a.{c}") for c in trace.columns], (F.col("a.occurrence") + F.col("b._before")).alias("occurrence"))
 
 
 def systematic_sample(trace: DataFrame, keys: Sequence[str] = ("code",), period: int = SAMPLE, accepted: Column | None = None, counts: DataFrame | None = None, least: int = 100) -> DataFrame:
@@ -33,7 +56,7 @@ def systematic_sample(trace: DataFrame, keys: Sequence[str] = ("code",), period:
     fewer than `least` are not sampled.
     """
     rows = trace if accepted is None else trace.filter(accepted)
-    rows = occurrence(rows, keys, [F.col("t").desc()])
+    rows = occurrence(rows, keys, descending=True)
     keep = (F.col("occurrence") - 1) % period == 0
     if counts is not None:
         rows = rows.join(counts, list(keys), "left")
@@ -57,14 +80,35 @@ def node_count(trace: DataFrame, keys: Sequence[str] = ("code",), period: int =
 
 
 def fold_average(trace: DataFrame, keys: Sequence[str] = ("code",)) -> DataFrame:
-    """Running mean with truncating division, in order of t: an ordered fold, so without partial aggregation."""
-    fold = F.aggregate(
-        F.array_sort(F.collect_list("t")),
-        F.struct(F.lit(0).cast("long").alias("avg"), F.lit(0).cast("long").alias("n")),
-        lambda a, x: F.struct((a["avg"] + F.floor((x - a["avg"]) / (a["n"] + 1))).cast("long").alias("avg"), (a["n"] + 1).alias("n")),
-        lambda a: a["avg"],
-    )
-    return trace.groupBy(*keys).agg(fold.alias("avg_t"))
+    """(keys, avg_t): running mean with truncating division, in order of t.
+
+    Each step rounds, so the fold has to follow the order; it runs over sorted records that stream through, and holds
+    one mean at a time.
+    """
+    fields = [f for f in trace.schema.fields if f.name in keys]
+    schema = StructType([*fields, StructField("avg_t", LongType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        at, avg, n = None, 0, 0
+        for batch in batches:
+            out = []
+            for *key, t in zip(*(batch.column(c).to_pylist() for c in (*names, "t")), strict=True):
+                if key != at:
+                    if at is not None:
+                        out.append((*at, avg))
+                    at, avg, n = key, 0, 0
+                avg += (t - avg) // (n + 1)
+                n += 1
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip((*names, "avg_t"), r, strict=True)) for r in out], schema=arrow)
+        if at is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip((*names, "avg_t"), (*at, avg), strict=True))], schema=arrow)
+
+    names = [f.name for f in fields]
+    arrow = to_arrow_schema(schema)
+    return trace.select(*names, F.col("t").cast("long").alias("t")).repartition(*names).sortWithinPartitions(*names, "t").mapInArrow(run, schema)
 
 
 def float_average(trace: DataFrame, keys: Sequence[str] = ("code",)) -> DataFrame:
@@ -160,3 +204,23 @@ def writes_before_branch(trace: DataFrame, branch, n: int, keys: Sequence[str] =
 def last_outcomes(split: DataFrame, keys: Sequence[str] = ("tid",)) -> DataFrame:
     """The last taken and the last not taken record of each key."""
     return split.groupBy(*keys, "taken").agg(F.max("t").alias("t"))
+
+
+def trace_points(trace: DataFrame, keys: Sequence[str] = ("run",), codes: Sequence = ()) -> DataFrame:
+    """Per key, how often each of codes was seen, in columns n_<code>."""
+    return trace.groupBy(*keys).agg(*[F.count_if(F.col("code") == F.lit(c)).alias(f"n_{c}") for c in codes])
+
+
+def sample_outcomes(split: DataFrame, n: int, keys: Sequence[str] = ("tid",), seed: int = 0) -> DataFrame:
+    """Of each key n taken and n not taken records, drawn by a seeded hash of their time."""
+    w = Window.partitionBy(*keys, "taken").orderBy(F.xxhash64(F.lit(seed), "t"), "t")
+    return split.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
+
+
+def values_before(trace: DataFrame, branch, point, keys: Sequence[str] = ("tid",)) -> DataFrame:
+    """(keys, t, reg_t): for each branch record the nearest earlier record of point, unless one without an address lies between."""
+    w = Window.partitionBy(*keys).orderBy("t").rowsBetween(*BEFORE)
+    is_point = F.col("code") == F.lit(point)
+    last = F.last(F.when(is_point | F.col("addr").isNull(), F.struct("t", is_point.alias("hit"), F.col("addr").isNotNull().alias("ok"))), ignorenulls=True).over(w)
+    rows = trace.withColumn("_l", last).filter(F.col("code") == F.lit(branch))
+    return rows.select(*keys, "t", F.when(F.col("_l.hit") & F.col("_l.ok"), F.col("_l.t")).alias("reg_t"))

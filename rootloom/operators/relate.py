@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import relation_class
+from ..functions import relation_class, weight_order
 
 
 def base_weight(targets: DataFrame, least: float = 0.99) -> DataFrame:
@@ -36,6 +36,40 @@ def weighted_forward(nodes: DataFrame, reach: DataFrame, weights: DataFrame) ->
     return nodes.join(s, "node", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
 
 
+def weighted_backward(counts: DataFrame, weights: DataFrame) -> DataFrame:
+    """counts(target, static, c) times the weight of weights(target, weight); 0 where that is not valid."""
+    return counts.join(weights.select("target", "weight"), "target", "left").withColumn("w", F.col("c") * F.coalesce("weight", F.lit(0.0))).drop("weight")
+
+
+def weighted_fit(values: DataFrame, keys: list[str], w: str = "w") -> DataFrame:
+    """Mean and population deviation of weighted counts; null if some have no weight."""
+    whole = F.count(w) == F.count(F.lit(1))
+    return values.groupBy(*keys).agg(F.when(whole, F.avg(w)).alias("w_mu"), F.when(whole, F.stddev_pop(w)).alias("w_sd"))
+
+
+def prune_small(groups: DataFrame, keys: list[str], other: DataFrame | None = None, share: float = 0.01, order: str = "seq") -> DataFrame:
+    """groups(keys, insn, seq, weight) in order of seq: one goes if it weighs less than `share` of the heaviest before it, unless other(insn) has it."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = groups.withColumn("_max", F.coalesce(F.max("weight").over(w), F.lit(0.0)))
+    small = F.col("weight") < share * F.col("_max")
+    if other is not None:
+        rows = rows.join(other.select("insn").distinct().withColumn("_o", F.lit(True)), "insn", "left")
+        small = small & F.col("_o").isNull()
+    return rows.filter(~small).select(*groups.columns)
+
+
+def report_scale(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Greatest timestamp and weight of each report, 1 at least."""
+    return rows.groupBy(*keys).agg(F.greatest(F.max("ts"), F.lit(1.0)).alias("max_ts"), F.greatest(F.max("weight"), F.lit(1.0)).alias("max_weight"))
+
+
+def ordered(relations: DataFrame, keys: list[str]) -> DataFrame:
+    """relations(keys, file, lines, perc, corr) numbered in report order: by place, then weight to two places and correlation."""
+    place = F.concat(F.col("file"), F.lit(":"), F.array_join(F.col("lines").cast("array<string>"), ","))
+    w = Window.partitionBy(*keys).orderBy(place, weight_order(F.col("perc"), F.col("corr")))
+    return relations.withColumn("pos", F.row_number().over(w))
+
+
 def reached_events(nodes: DataFrame, reach: DataFrame) -> DataFrame:
     """Per static node: its executions and the number of different targets that any of them reaches."""
     return nodes.join(reach, "node", "left").groupBy("static").agg(F.count_distinct("node").alias("executions"), F.count_distinct("target").alias("reachable"))

@@ -226,10 +226,9 @@ def width_tolerant_def(spark, sf):
 
 @query(f"WITH {EV}, p AS (SELECT u.t AS load, (u.t % 255) + 1 AS mask, d.t AS store_t, d.t % 256 AS store_mask FROM ev u JOIN ev d ON d.addr = u.addr AND d.tid = u.tid AND d.code = 'click' AND d.t < u.t WHERE u.code = 'purchase'), r AS (SELECT *, mask & ~coalesce(bit_or(store_mask) OVER (PARTITION BY load ORDER BY store_t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM p) SELECT load, store_t, mask, store_mask, rest FROM r WHERE (rest & store_mask) <> 0")
 def mask_coverage(spark, sf):
-    tr = trace(spark, sf)
-    u = tr.filter("code = 'purchase'").select("addr", "tid", F.col("t").alias("load"), (F.col("t") % 255 + 1).alias("mask"))
-    d = tr.filter("code = 'click'").select("addr", "tid", F.col("t").alias("store_t"), (F.col("t") % 256).alias("store_mask"))
-    return edges.mask_cover(u.join(d, ["addr", "tid"]).filter("store_t < load").select("load", "mask", "store_t", "store_mask"))
+    load = F.col("code") == "purchase"
+    mask = F.when(load, F.col("t") % 255 + 1).otherwise(F.col("t") % 256)
+    return edges.mask_cover(trace(spark, sf), load, F.col("code") == "click", mask, ("addr", "tid"), 8).select("load", "store_t", "mask", "store_mask", "rest")
 
 
 @query(f"WITH {EV}, w AS (SELECT addr, t, code, lag(code) OVER x AS p, lag(t) OVER x AS pt FROM ev WHERE code IN ('click', 'view') WINDOW x AS (PARTITION BY addr ORDER BY t)) SELECT addr, t AS read_t, pt AS write_t FROM w WHERE code = 'view' AND p = 'click'")
@@ -296,13 +295,13 @@ def static_pass_rates(spark, sf):
     return _rounded(compare.pass_rates(c, t).select("node", "succ", "rate"))
 
 
-@query(f"WITH {EV}, {ST}, {EDGES}, r AS (SELECT ev.run, edge.src, edge.dst, count(*) AS n FROM edge JOIN ev ON ev.t = edge.dst_t GROUP BY ALL), t AS (SELECT run, code, count(*) AS total FROM ev GROUP BY ALL), p AS (SELECT r.run, r.src, r.dst, n * 1.0E0 / total AS rate FROM r JOIN t ON t.run = r.run AND t.code = r.src) SELECT a.src, a.dst, round(abs(a.rate - b.rate) * 100, 6) AS impact FROM p a JOIN p b ON a.src = b.src AND a.dst = b.dst AND a.run = 'bad' AND b.run = 'good' WHERE abs(a.rate - b.rate) * 100 > 0.1")
+@query(f"""WITH RECURSIVE {EV}, {ST}, {EDGES}, cf AS (SELECT src AS branch, dst AS target, count(*) AS n FROM edge GROUP BY ALL), total AS (SELECT code, count(*) AS n FROM ev GROUP BY code),
+  go AS (SELECT DISTINCT src AS def, dst AS use, dst AS at FROM st WHERE src IN (SELECT code FROM total) AND dst IN (SELECT branch FROM cf) UNION SELECT go.def, go.use, st.dst FROM go JOIN st ON st.src = go.at WHERE st.dst IN (SELECT branch FROM cf))
+  SELECT go.def, go.use, cf.branch, cf.target, round(cf.n * 1.0E0 / total.n, 6) AS rate FROM go JOIN cf ON cf.branch = go.at JOIN total ON total.code = go.at""")
 def def_use_pass_rates(spark, sf):
-    tr = trace(spark, sf)
-    n = dynamic(spark, sf).join(tr.select("run", F.col("t").alias("dst_t")), "dst_t").groupBy("run", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    t = tr.groupBy("run", F.col("code").alias("src")).agg(F.count(F.lit(1)).alias("total"))
-    p = n.join(t, ["run", "src"]).withColumn("rate", F.col("n") / F.col("total"))
-    return compare.pass_rate_impact(p.filter("run = 'bad'"), p.filter("run = 'good'"), ["src", "dst"], 0.1).select("src", "dst", F.round("impact", 6).alias("impact"))
+    c = dynamic(spark, sf).groupBy(F.col("src").alias("branch"), F.col("dst").alias("target")).agg(F.count(F.lit(1)).alias("n"))
+    t = trace(spark, sf).groupBy(F.col("code").alias("node")).agg(F.count(F.lit(1)).alias("total"))
+    return _rounded(compare.def_use_rates(static(spark), c, t))
 
 
 @query(f"WITH {EV} SELECT t, CAST(CASE WHEN tid % 7 = 0 THEN 0 ELSE CASE WHEN tid % 3 <> 0 THEN addr * (tid % 3) ELSE addr END + CASE WHEN code = 'error' THEN 0 ELSE tid * coalesce(CASE WHEN t % 2 = 0 THEN 2 END, 1) + 16 END END AS BIGINT) AS ea FROM ev")
@@ -391,7 +390,7 @@ def relation_match_diff(spark, sf):
 @query(f"WITH {EV}, h AS (SELECT code, addr AS c, count(*) FILTER (WHERE run = 'bad') AS a, count(*) FILTER (WHERE run = 'good') AS b FROM ev GROUP BY ALL), s AS (SELECT code, abs(sum(a) OVER (PARTITION BY code ORDER BY c) * 1.0E0 / sum(a) OVER (PARTITION BY code) - sum(b) OVER (PARTITION BY code ORDER BY c) * 1.0E0 / sum(b) OVER (PARTITION BY code)) AS g, sum(a) OVER (PARTITION BY code) AS na, sum(b) OVER (PARTITION BY code) AS nb FROM h) SELECT code, round(max(g), 6) AS d, CAST(max(na) AS BIGINT) AS n_left, CAST(max(nb) AS BIGINT) AS n_right, max(g) * sqrt(max(na) * max(nb) * 1.0E0 / (max(na) + max(nb))) < 0.51961 AS equal FROM s GROUP BY code")
 def ks_two_sample(spark, sf):
     h = relate.histogram(trace(spark, sf).withColumn("c", F.col("addr")), ["run", "code"])
-    return _rounded(compare.ks_distance(h.filter("run = 'bad'"), h.filter("run = 'good'"), ["code"]))
+    return _rounded(compare.ks_test(compare.ks_distance(h.filter("run = 'bad'"), h.filter("run = 'good'"), ["code"])).drop("p"))
 
 
 @query(f"WITH {EV}, i AS (SELECT tid, run, count(*) AS n, max(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS ratio, avg(CASE WHEN value > 50 THEN 1.0E0 ELSE 0 END) AS p FROM ev GROUP BY ALL) SELECT l.tid, l.ratio = r.ratio AND CASE WHEN l.p < 1 AND r.p < 1 THEN CASE WHEN l.p = r.p THEN true WHEN l.p > 0 AND abs(l.p - r.p) / l.p < 0.1 THEN true WHEN abs(l.p - r.p) < 0.01 THEN true ELSE round_even(l.n * l.p, 0) = round_even(r.n * r.p, 0) END WHEN (l.p < 1) <> (r.p < 1) THEN CASE WHEN l.p < 1 THEN l.p ELSE r.p END >= 0.99 ELSE true END AS equal FROM i l JOIN i r ON l.tid = r.tid AND l.run = 'bad' AND r.run = 'good'")
@@ -437,11 +436,13 @@ def impact_tests(spark, sf):
     return _impacts(spark, sf).select("tid", negative_event(c("l_w"), c("r_w"), c("l_actual"), c("r_actual")).alias("negative"), count_tolerance(c("l_actual"), c("r_actual")).alias("alike"), F.round(boosted(c("l_perc") / 100), 6).alias("boosted"))
 
 
-@query(f"WITH {EV}, s AS (SELECT tid, code, avg(value) AS impact, count(*) AS weight FROM ev GROUP BY ALL), g AS (SELECT tid, sum(impact * weight / 100) AS s, sum(weight) AS w FROM s GROUP BY tid) SELECT tid, round(least(s + greatest(90.0E0 - w, 0), 60.0E0), 6) AS weight FROM g")
+@query(f"""WITH {EV}, s AS (SELECT tid, code, avg(value) AS impact, count(*) * 1.0E0 AS weight FROM ev GROUP BY ALL), c AS (SELECT *, impact * weight / 100 AS part FROM s),
+  w AS (SELECT *, coalesce(sum(part) OVER (PARTITION BY tid ORDER BY impact DESC, weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+  SELECT tid, round(least(sum(part), 2.0E0) + greatest(9.0E0 - sum(weight), 0), 6) AS new_weight FROM w WHERE before <= 2 GROUP BY tid""")
 def successor_discount(spark, sf):
-    s = trace(spark, sf).groupBy("tid", "code").agg(F.avg("value").alias("impact"), F.count(F.lit(1)).alias("weight"))
-    s = s.withColumn("own", F.lit(60.0)).withColumn("forward", F.lit(90.0))
-    return _rounded(compare.successor_discount(s, ["tid"]))
+    s = trace(spark, sf).groupBy("tid", "code").agg(F.avg("value").alias("impact"), F.count(F.lit(1)).cast("double").alias("weight"))
+    nodes = s.select("tid").distinct().withColumn("own", F.lit(2.0)).withColumn("forward", F.lit(9.0))
+    return _rounded(compare.accumulate(nodes, s, ["tid"]))
 
 
 _REP = f"WITH {EV}, c AS (SELECT run, addr AS func, count(*) AS n FROM ev GROUP BY ALL), p AS (SELECT run, func, n * 100.0E0 / sum(n) OVER (PARTITION BY run) AS pct, row_number() OVER (PARTITION BY run ORDER BY n DESC, func) AS pos FROM c)"
@@ -579,7 +580,7 @@ def first_wins(spark, sf):
     return relate.first_wins(_table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], "o_orderkey")
 
 
-@query(f"WITH {EV}, k AS (SELECT run, tid, code, sum(CASE WHEN addr > 50 THEN 1 ELSE 0 END) AS n, count(*) AS total FROM ev GROUP BY run, tid, code), r AS (SELECT *, n * 1.0E0 / total AS rate FROM k WHERE n > 0) SELECT a.tid, a.code, round(abs(a.rate - b.rate) * 100, 6) AS impact FROM r a JOIN r b ON a.tid = b.tid AND a.code = b.code AND a.run = 'good' AND b.run = 'bad' WHERE round(abs(a.rate - b.rate) * 100, 6) > 5")
+@query(f"WITH {EV}, k AS (SELECT run, tid, code, sum(CASE WHEN addr > 50 THEN 1 ELSE 0 END) AS n, count(*) AS total FROM ev GROUP BY run, tid, code), r AS (SELECT *, n * 1.0E0 / total AS rate FROM k WHERE n > 0) SELECT a.tid, a.code, round((a.rate - coalesce(b.rate, 0)) * 100, 6) AS impact FROM (SELECT * FROM r WHERE run = 'good') a LEFT JOIN (SELECT * FROM r WHERE run = 'bad') b ON a.tid = b.tid AND a.code = b.code WHERE round((a.rate - coalesce(b.rate, 0)) * 100, 6) > 5")
 def pass_rate_impact(spark, sf):
     tr = trace(spark, sf).withColumn("node", F.concat_ws("/", "run", "tid", "code"))
     nodes = tr.groupBy("node").agg(F.count(F.lit(1)).alias("total"))
@@ -685,6 +686,9 @@ def stack_heights(spark, sf):
     return graph.stack_heights(links, n)
 
 
+from . import artefacts_catalog, relations_catalog  # noqa: E402, F401 - they add their queries
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

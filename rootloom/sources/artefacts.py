@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import from_hex, parse_expression
+from ..functions import from_hex, parse_expression, register_width
 
 #: A relation one way: an invariant one has a ratio and a proportion, another the counts it was found from.
 RELATION = "struct<is_invariant:boolean,ratio:double,conditional_proportion:double,distribution:array<double>,weighted_distribution:array<double>>"
@@ -32,6 +32,14 @@ def node_info(spark: SparkSession, path: str) -> DataFrame | None:
     return _lines(spark, path).select(from_hex(s[0]).alias("insn"), s[1].cast("long").alias("value"))
 
 
+def pass_counts(spark: SparkSession, path: str) -> DataFrame | None:
+    """`hex hex dec` lines to (branch, target, n); None if the file is not there."""
+    if not _exists(spark, path):
+        return None
+    s = F.split("value", r"\s+")
+    return _lines(spark, path).select(from_hex(s[0]).alias("branch"), from_hex(s[1]).alias("target"), s[2].cast("long").alias("n"))
+
+
 def _quad(q):
     """struct(file, line, idx, total) of a quad [file, line, index, total_count], read as strings."""
     return F.struct(q[0].alias("file"), q[1].try_cast("int").alias("line"), q[2].try_cast("int").alias("idx"), q[3].try_cast("int").alias("total"))
@@ -114,6 +122,12 @@ def static_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.select("src", "dst", "kind")
 
 
+def with_widths(nodes: DataFrame) -> DataFrame:
+    """Nodes of a static graph with load_width and store_width, the bytes of their register; 8 for one that is not known, null without."""
+    width = lambda c: F.when(F.col(c).isNotNull() & (F.col(c) != ""), register_width(F.col(c)))
+    return nodes.withColumn("load_width", width("reg_load")).withColumn("store_width", width("reg_store"))
+
+
 def dynamic_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges(src, dst, kind)) of an execution graph's JSON envelope; nodes have is_entry, is_exit and is_target."""
     node = "struct<id:long,insn_id:long,func:string,static_node:long,weight:double,is_valid_weight:boolean,is_aggregate_weight:boolean,cf_predes:array<long>,df_predes:array<long>,mem_load_addr:long,mem_store_addr:long,load_bit_mask:long,remaining_load_bit_mask:long,store_bit_mask:long,bit_ops:map<string,long>,input_sets:map<string,long>,output_set_count:long,output_weight:double,thread_id:int>"
@@ -200,7 +214,7 @@ def address_ranges(text: DataFrame) -> DataFrame:
 
 
 def slice_results(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of slice answers: (use, func, kind, reg, off, shift, off_reg)."""
+    """JSON lines of slice answers: (use, func, insn, read_same_as_write, is_bit_var, kind, reg, shift, off, off_reg, off1)."""
     df = spark.read.schema("use long, func string, insn long, expr string, read_same_as_write boolean, is_bit_var boolean").json(path)
     return df.withColumn("_e", parse_expression(F.col("expr"))).select("use", "func", "insn", "read_same_as_write", "is_bit_var", "_e.*")
 

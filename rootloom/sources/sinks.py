@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.order import HOT, hot_codes
+
 
 def write_trace(trace: DataFrame, path: str) -> None:
     """A parsed trace, partitioned by run."""
     trace.write.mode("overwrite").partitionBy("run").parquet(path)
 
 
+def write_parsed(trace: DataFrame, path: str, starts: DataFrame, cutoff: int = HOT) -> None:
+    """A parsed trace(run, code, uid, ...) without hot codes, the codes left out (`large`) and the uids of starts(code) (`starting_uids`)."""
+    large = hot_codes(trace, ("run", "code"), cutoff)
+    write_trace(trace.join(large.select("run", "code"), ["run", "code"], "left_anti"), f"{path}/trace")
+    large.write.mode("overwrite").parquet(f"{path}/large")
+    trace.join(starts.select("code").distinct(), "code", "left_semi").select("run", "uid").write.mode("overwrite").parquet(f"{path}/starting_uids")
+
+
 def write_counts(counts: DataFrame, path: str) -> None:
     """(insn, value) as `hex dec` lines."""
     counts.select(F.concat_ws(" ", F.lower(F.hex("insn")), F.col("value").cast("string")).alias("value")).write.mode("overwrite").text(path)

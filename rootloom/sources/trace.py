@@ -6,16 +6,23 @@ Raw files are read from their end, since a record's payload precedes its code: [
 its suffix).  A record's width depends on its code, so a file is one task; a directory of files is
 as many.  Options: path, registers (comma-separated codes with a payload), mode (raw or parsed).
 
+Registers are unsigned in raw files and signed in parsed ones; both are decimal(20,0).
+
 Fixed values: little-endian fields of 8, 2 and 1 bytes.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
+from itertools import groupby, islice
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-BLOCK = 1 << 22
+from ..storage import stored
+
+#: Bytes read at once, records given at once, and bytes of the widest raw record.
+BLOCK, ROWS, WIDEST = 1 << 22, 1 << 16, 10
 #: What a parsed file's name and its file of thread ids differ by.
 THREADS = "_thread_ids"
 
@@ -33,26 +40,26 @@ def _fs(path: str):
 
 def backwards(f, size: int, registers: frozenset):
     """(uid, tid, code, reg) of a raw trace, last record first; tid is that of the mark met last, or None."""
-    held, at, uid, tid = b"", size, 0, None
-
-    def take(n: int) -> bytes:
-        nonlocal held, at
-        while len(held) < n and at:
+    held, pos, at, uid, tid = b"", 0, size, 0, None
+    while pos or at:
+        if pos < WIDEST and at:  # what is left of a block goes behind the one before it
             step = min(BLOCK, at)
             at -= step
             f.seek(at)
-            held = f.read(step) + held
-        if len(held) < n:
+            held = f.read(step) + held[:pos]
+            pos += step
+        pos -= 2
+        code = held[pos] | held[pos + 1] << 8 if pos >= 0 else 0
+        reg = None
+        if pos >= 0 and code == 0:
+            pos -= 1
+            tid = held[pos] if pos >= 0 else None
+        elif code in registers:
+            pos -= 8
+            reg = int.from_bytes(held[pos : pos + 8], "little") if pos >= 0 else None
+        if pos < 0:
             raise ValueError("the trace is cut off at its start")
-        out, held = held[-n:], held[:-n]
-        return out
-
-    while held or at:
-        (code,) = struct.unpack("<H", take(2))
-        if code == 0:
-            tid = take(1)[0]
-        else:
-            reg = struct.unpack("<q", take(8))[0] if code in registers else None
+        if code:
             yield uid, tid, code, reg
         uid += 1
 
@@ -60,13 +67,34 @@ def backwards(f, size: int, registers: frozenset):
 def forwards(f, registers: frozenset, threads: bytes = b""):
     """(uid, tid, code, reg) of a parsed trace; a mark has no uid, and takes the next of the thread ids; tid is null without them."""
     marks, tid = iter(threads), None
-    while head := f.read(2):
-        (code,) = struct.unpack("<H", head)
+    held, pos = b"", 0
+    while True:
+        if len(held) - pos < 18:
+            held, pos = held[pos:] + f.read(BLOCK), 0
+            if not held:
+                return
+        code = int.from_bytes(held[pos : pos + 2], "little")
+        wide = 2 if code == 0 else 18 if code in registers else 10
+        if len(held) - pos < wide:
+            raise ValueError("the trace is cut off at its end")
         if code == 0:
             tid = next(marks, tid)
-            continue
-        (uid,) = struct.unpack("<q", f.read(8))
-        yield uid, tid, code, struct.unpack("<q", f.read(8))[0] if code in registers else None
+        else:
+            uid = int.from_bytes(held[pos + 2 : pos + 10], "little", signed=True)
+            yield uid, tid, code, int.from_bytes(held[pos + 10 : pos + 18], "little", signed=True) if wide == 18 else None
+        pos += wide
+
+
+def batches(name: str, rows):
+    """Arrow batches of records of the file `name`."""
+    import pyarrow as pa
+
+    types = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.decimal128(20, 0))
+    while part := list(islice(rows, ROWS)):
+        uid, tid, code, reg = zip(*part, strict=True)
+        # registers as whole words: unsigned in raw traces, signed in parsed ones
+        wide = pa.array(reg, pa.uint64() if all(x is None or x >= 0 for x in reg) else pa.int64()).cast(types[4])
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), types[0]), pa.array(uid, types[1]), pa.array(tid, types[2]), pa.array(code, types[3]), wide], ["run", "uid", "tid", "code", "reg"])
 
 
 class _Reader(DataSourceReader):
@@ -92,8 +120,7 @@ class _Reader(DataSourceReader):
                 threads = f.read()
         with store.open_input_file(partition.value) as f:
             rows = backwards(f, f.size(), self.registers) if self.mode == "raw" else forwards(f, self.registers, threads)
-            for uid, tid, code, reg in rows:
-                yield name, uid, tid, code, reg
+            yield from batches(name, rows)
 
 
 class TraceSource(DataSource):
@@ -102,7 +129,7 @@ class TraceSource(DataSource):
         return "rootloom_trace"
 
     def schema(self) -> str:
-        return "run string, uid long, tid int, code int, reg long"
+        return "run string, uid long, tid int, code int, reg decimal(20,0)"
 
     def reader(self, schema):
         return _Reader(self.options)
@@ -112,14 +139,104 @@ def register(spark) -> None:
     spark.dataSource.register(TraceSource)
 
 
+class RawEncoder:
+    """Bytes of a raw trace from (order, tid, code, reg or None) in execution order, with a mark after each thread's stretch."""
+
+    def __init__(self):
+        self.tid = None
+
+    def add(self, records) -> dict[str, bytes]:
+        out = bytearray()
+        for _, tid, code, reg in records:
+            if self.tid is not None and tid != self.tid:
+                out += struct.pack("<BH", self.tid, 0)
+            self.tid = tid
+            out += (struct.pack("<Q", int(reg) & (1 << 64) - 1) if reg is not None else b"") + struct.pack("<H", code)
+        return {"": bytes(out)}
+
+    def end(self) -> dict[str, bytes]:
+        return {"": struct.pack("<BH", self.tid, 0) if self.tid is not None else b""}
+
+
+class ParsedEncoder:
+    """Bytes of a parsed trace and its thread ids from (uid, tid, code, reg or None) in order, with a mark where the thread changes."""
+
+    def __init__(self):
+        self.tid = None
+
+    def add(self, records) -> dict[str, bytes]:
+        out, threads = bytearray(), bytearray()
+        for uid, tid, code, reg in records:
+            if tid != self.tid:
+                out += struct.pack("<H", 0)
+                threads.append(tid)
+                self.tid = tid
+            out += struct.pack("<Hq", code, uid) + (struct.pack("<q", int(reg)) if reg is not None else b"")
+        return {"": bytes(out), THREADS: bytes(threads)}
+
+    def end(self) -> dict[str, bytes]:
+        return {}
+
+
 def encode_raw(records) -> bytes:
-    """Bytes of a raw trace from (tid, code, reg or None) in execution order, with a mark after each thread's stretch."""
-    out, tid = bytearray(), None
-    for t, code, reg in records:
-        if tid is not None and t != tid:
-            out += struct.pack("<BH", tid, 0)
-        tid = t
-        out += (struct.pack("<q", reg) if reg is not None else b"") + struct.pack("<H", code)
-    if tid is not None:
-        out += struct.pack("<BH", tid, 0)
-    return bytes(out)
+    """A raw trace from (tid, code, reg or None) in execution order."""
+    encoder = RawEncoder()
+    return encoder.add((None, *r) for r in records)[""] + encoder.end()[""]
+
+
+def _write(trace, path: str, order: str, encoder):
+    """One file for each run, of whatever length: written under a temporary name and renamed once it is whole."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        store, root = _fs(path)
+        store.create_dir(f"{root}/_temporary", recursive=True)
+        at, now, files, done = None, None, {}, []
+
+        def put(parts: dict[str, bytes]) -> None:
+            for suffix, data in parts.items():
+                if suffix not in files:
+                    temp = f"{root}/_temporary/{uuid.uuid4().hex}"
+                    files[suffix] = store.open_output_stream(temp, compression=None), temp
+                files[suffix][0].write(data)
+
+        def close() -> None:
+            if now is None:
+                return
+            put(now.end())
+            for suffix, (f, temp) in files.items():
+                f.close()
+                name = f"{root}/{at}{suffix}"
+                if store.get_file_info(name).is_file:  # of an earlier attempt; some file systems do not move onto a file
+                    store.delete_file(name)
+                store.move(temp, name)
+            files.clear()
+            done.append(at)
+
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("run", order, "tid", "code", "reg")), strict=True)
+            for name, group in groupby(rows, key=lambda r: r[0]):
+                if name != at:
+                    close()
+                    at, now = name, encoder()
+                put(now.add(r[1:] for r in group))
+        close()
+        if done:
+            yield pa.RecordBatch.from_pydict({"run": done})
+
+    dealt = trace.select("run", order, "tid", "code", "reg").repartition("run").sortWithinPartitions("run", order)
+    written = stored(dealt.mapInArrow(run, "run string"), "written-runs")
+    store, root = _fs(path)
+    store.delete_dir(f"{root}/_temporary")
+    return written
+
+
+def write_raw(trace, path: str):
+    """trace(run, t, tid, code, reg) to raw files in the folder path, one a run; the runs written."""
+    return _write(trace, path, "t", RawEncoder)
+
+
+def write_parsed(trace, path: str):
+    """trace(run, uid, tid, code, reg) to parsed files and their thread ids in the folder path, one a run; the runs written."""
+    return _write(trace, path, "uid", ParsedEncoder)

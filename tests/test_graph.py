@@ -1,11 +1,13 @@
 """Graph operators on small graphs, against answers worked out by hand or by a plain loop."""
 
-import itertools
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from rootloom.operators import compare, graph
+from rootloom.operators import align, graph, order
+from rootloom.operators import edges as edges_
 
 PAIR = "src long, dst long"
 
@@ -156,7 +158,7 @@ def test_levels_and_peel(spark):
     assert rows(graph.levels(e)) == [(1, 3), (2, 2), (3, 1), (4, 0), (5, 1), (6, 0)]
     assert rows(graph.peel(e, nodes(spark, 3)), "src", "dst") == [(1, 2), (1, 3), (2, 3)]
     try:
-        graph.levels(edges(spark, (1, 2), (2, 1)), rounds=8)
+        graph.levels(edges(spark, (1, 2), (2, 1)))
         raise AssertionError("a cycle has no levels")
     except ValueError:
         pass
@@ -182,20 +184,59 @@ def test_converge(spark):
     halve = lambda df: df.select((F.col("x") / 2).cast("long").alias("x"))
     out, n = graph.converge(halve, spark.createDataFrame([(9,), (2,)], "x long"))
     assert rows(out) == [(0,), (0,)] and n == 5
-    assert graph.converge(halve, spark.createDataFrame([(9,)], "x long"), most=2)[1] == 2
-
-
-def test_ks_exact():
-    def brute(n, m, d):
-        hit = total = 0
-        for c in itertools.combinations(range(n + m), n):
-            x = y = 0
-            most = 0.0
-            for i in range(n + m):
-                x, y = x + (i in c), y + (i not in c)
-                most = max(most, abs(x / n - y / m))
-            hit, total = hit + (most >= d - 1e-9), total + 1
-        return hit / total
-
-    for n, m, d in ((3, 4, 0.5), (4, 4, 0.75), (2, 5, 0.6), (5, 3, 1.0)):
-        assert abs(compare.ks_exact(d, n, m) - brute(n, m, d)) < 1e-9, (n, m, d)
+    with pytest.raises(RuntimeError):
+        graph.converge(halve, spark.createDataFrame([(9,)], "x long"), most=2)
+
+
+def test_long_paths_are_whole(spark):
+    """Nothing stops at a number of rounds or edges: a chain of 60, which the operators follow to its end."""
+    n = 60
+    chain = edges(spark, *[(k, k + 1) for k in range(n)])
+    assert rows(graph.paths(chain, nodes(spark, 0), nodes(spark, n))) == [(list(range(n + 1)),)]
+    assert graph.levels(chain).filter(f"level = {n} and node = 0").count() == 1
+
+
+def test_levels_find_cycles(spark):
+    with pytest.raises(ValueError):
+        graph.levels(edges(spark, (1, 2), (2, 3), (3, 1), (3, 4)))
+    assert rows(graph.levels(edges(spark, (1, 2), (1, 3), (3, 2)))) == [(1, 2), (2, 0), (3, 1)]
+    assert graph.levels(edges(spark, (1, 2)).limit(0)).count() == 0
+
+
+def test_occurrence_in_stretches(spark):
+    rng = np.random.default_rng(3)
+    data = [(int(c), int(t), f"x{t}") for t, c in zip(rng.permutation(500) * 3, rng.integers(0, 4, 500) ** 2)]
+    df = spark.createDataFrame(data, "code long, t long, more string")
+    for desc in (False, True):
+        whole, split = (sorted(order.occurrence(df, descending=desc, rows=n).select("t", "code", "more", "occurrence").collect()) for n in (10**6, 40))
+        assert whole == split and len(whole) == 500
+
+
+def test_containing_over_wide_ranges(spark):
+    rng = np.random.default_rng(4)
+    ranges = [(int(a), int(a) + int(w)) for a, w in zip(rng.integers(0, 1 << 40, 60), 2 ** rng.integers(0, 41, 60))] + [(5, 4), (-100, 100), (7, 7)]
+    points = [int(x) for x in rng.integers(0, 1 << 40, 200)] + [a for a, _ in ranges] + [b for _, b in ranges]
+    got = align.containing(spark.createDataFrame([(x,) for x in points], "insn long"), spark.createDataFrame(ranges, "first long, last long"))
+    assert sorted(map(tuple, got.collect())) == sorted((x, a, b) for x in points for a, b in ranges if a <= x <= b)
+
+
+def test_mask_cover_against_loops(spark):
+    rng = np.random.default_rng(5)
+    log = [(t, int(rng.integers(0, 3)), bool(rng.random() < 0.4), int(rng.integers(-(1 << 62), 1 << 62) | (int(rng.random() < 0.5) << 62)) * (1 if rng.random() < 0.5 else -1)) for t in range(80)]
+    df = spark.createDataFrame(log, "t long, addr long, load boolean, m long")
+    got = {tuple(r) for r in edges_.mask_cover(df, F.col("load"), ~F.col("load"), F.col("m")).select("load", "store_t", "rest").collect()}
+    want = set()
+    for t, addr, load, m in log:
+        rest = m
+        for s, a, other, w in reversed(log[:t]):
+            if load and a == addr and not other:
+                if rest & w:
+                    want.add((t, s, rest))
+                rest &= ~w
+    assert got == want and len(want) > 20
+
+
+def test_sample_outcomes(spark):
+    df = spark.createDataFrame([(k % 3, k, k % 2 == 0) for k in range(60)], "tid long, t long, taken boolean")
+    out = order.sample_outcomes(df, 4)
+    assert out.groupBy("tid", "taken").count().filter("count <> 4").count() == 0 and rows(out) == rows(order.sample_outcomes(df, 4))
