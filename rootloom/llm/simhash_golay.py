@@ -165,12 +165,13 @@ def near_copies_roots(docs: DataFrame, similarity: float | None = near_copies.SI
         return stored(found.select("doc_id", "th", root.alias("root")), "near-roots")
     found = near_copies.prints(docs, similarity, lambda text: signed(fingerprint(text)))
     near = near_copies.links(found, docs, similarity)
+    # a fingerprint is spoken for by the first of its sets of shingles, so one search for components serves both links
     nodes = stored(found.select("fp", "node").distinct(), "fingerprint-nodes")
-    roots = components(links(nodes.select("fp").distinct(), bucket))
-    named = stored(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("group")), "fingerprint-groups")
-    first = named.groupBy("group").agg(F.min("node").alias("a"))
-    star = named.join(first, "group").select("a", F.col("node").alias("b")).filter("a <> b")
-    roots = components(near.union(star))
+    first = stored(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    same = nodes.join(first, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    end = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
+    close = links(first.select("fp"), bucket).join(end("a"), "a").join(end("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    roots = components(near.union(same).union(close))
     return stored(found.select("doc_id", "th", "node").join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root")), "near-roots")
 
 
