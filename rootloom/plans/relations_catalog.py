@@ -336,13 +336,14 @@ def call_edges(spark, sf):
     return graph.callsite_edges(entries, sites).groupBy(F.col("dst").alias("src")).agg(F.min("src").alias("first"), F.count(F.lit(1)).alias("n"))
 
 
-_G = f"WITH RECURSIVE {EV}, u AS (SELECT DISTINCT tid FROM ev), e AS (SELECT tid AS src, tid + 1 + tid % 3 AS dst FROM u UNION SELECT tid, tid + 5 FROM u WHERE tid % 4 = 0)"
+_G = f"WITH RECURSIVE {EV}, u AS (SELECT DISTINCT tid FROM ev), e AS (SELECT tid AS src, tid * 2 + 1 + tid % 3 AS dst FROM u UNION SELECT tid, tid * 2 + 5 FROM u WHERE tid % 4 = 0)"
 
 
 def _calls(spark, sf):
-    """Edges between threads, rising, as many as threads: a graph that grows with the table."""
+    """Edges between threads, rising, as many as threads: a graph that grows with the table, and in depth with its logarithm."""
     u = trace(spark, sf).select("tid").distinct()
-    return u.select(F.col("tid").alias("src"), (F.col("tid") + 1 + F.col("tid") % 3).alias("dst")).union(u.filter("tid % 4 = 0").select("tid", F.col("tid") + 5)).distinct()
+    twice = F.col("tid") * 2
+    return u.select(F.col("tid").alias("src"), (twice + 1 + F.col("tid") % 3).alias("dst")).union(u.filter("tid % 4 = 0").select("tid", twice + 5)).distinct()
 
 
 @query(f"{_G}, w AS (SELECT 0 AS insn, 0 AS round UNION SELECT e.dst, 0 FROM e JOIN w ON e.src = w.insn WHERE e.dst % 7 <> 0) SELECT DISTINCT insn FROM w")
@@ -370,17 +371,15 @@ def wavefronts_of_wavefronts(spark, sf):
     return found.select("src", "dst")
 
 
-@query(f"{_G}, a AS (SELECT * FROM e WHERE dst % 3 = 0), b AS (SELECT src + src % 2 AS src, dst FROM a) (SELECT *, 'pred' AS only FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) UNION ALL (SELECT *, 'succ' FROM (SELECT * FROM b EXCEPT SELECT * FROM a))")
+@query(f"{_G}, a AS (SELECT * FROM e WHERE dst % 2 = 1), b AS (SELECT src + src % 2 AS src, dst FROM a) (SELECT *, 'pred' AS only FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) UNION ALL (SELECT *, 'succ' FROM (SELECT * FROM b EXCEPT SELECT * FROM a))")
 def differing_edges(spark, sf):
-    a = _calls(spark, sf).filter("dst % 3 = 0")
+    a = _calls(spark, sf).filter("dst % 2 = 1")
     return graph.asymmetric(a, a.select((F.col("src") + F.col("src") % 2).alias("src"), "dst"))
 
 
-@query(f"{_G}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), l AS (SELECT node, 0 AS level FROM n UNION SELECT e.src, l.level + 1 FROM l JOIN e ON e.dst = l.node WHERE l.level < 12) SELECT node, max(level) AS level FROM l WHERE node >= (SELECT max(node) - 12 FROM n) GROUP BY node")
-def levels_near_the_end(spark, sf):
-    """Longest paths to a sink, over the whole graph, compared for the nodes near its end, from where no path is longer than 12."""
-    found = graph.levels(_calls(spark, sf))
-    return found.join(F.broadcast(found.agg((F.max("node") - 12).alias("low"))), F.col("node") >= F.col("low")).select("node", "level")  # one row
+@query(f"{_G}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), l AS (SELECT node, 0 AS level FROM n UNION SELECT e.src, l.level + 1 FROM l JOIN e ON e.dst = l.node) SELECT node, max(level) AS level FROM l GROUP BY node")
+def levels_of_calls(spark, sf):
+    return graph.levels(_calls(spark, sf))
 
 
 # functions of values
