@@ -38,7 +38,6 @@ def test_stages(spark):
         if k < 4:
             assert out.columns == start.columns, name
             docs = out
-    assert corpus_pipeline.run(spark, SF).count() == out.count()
 
 
 @pytest.mark.parametrize("empty", [False, True])
