@@ -94,3 +94,17 @@ def test_prefixes_meet():
             (a, ra), (b, rb) = near_copies.prefix(s, common), near_copies.prefix(t, common)
             assert len(np.intersect1d(a, b))
             assert near_copies.most_shared(a, ra, len(s), b, rb, len(t)) >= len(np.intersect1d(s, t))
+
+
+def test_ranked_prefixes_meet():
+    rng = np.random.default_rng(14)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        both = rng.choice(10**6, n, replace=False) + 10**6
+        s, t = (np.unique(np.append(both, rng.integers(10**7, 10**8, int(rng.integers(0, n // 8 + 1))))) for _ in range(2))
+        if 5 * len(np.intersect1d(s, t)) >= 4 * len(np.union1d(s, t)):
+            common = np.sort(rng.choice(both, n // 2, replace=False))
+            rank = rng.permutation(len(common))
+            (a, ra), (b, rb) = (near_copies.prefix(x, common, rank=rank) for x in (s, t))
+            assert len(np.intersect1d(a, b))
+            assert near_copies.most_shared(a, ra, len(s), b, rb, len(t)) >= len(np.intersect1d(s, t))
