@@ -115,6 +115,17 @@ def float_average(trace: DataFrame, keys: Sequence[str] = ("code",)) -> DataFram
     return trace.groupBy(*keys).agg(F.avg("t").alias("avg_t"))
 
 
+def sums_in_order(trace: DataFrame, keys: Sequence[str], value: str, *others: Column) -> DataFrame:
+    """(keys, sum, n, others): the sum of the values, added one by one in order of t (then value), how many there are, and other aggregates.
+
+    A sum of doubles depends on its order, and with it what is rounded or ranked by it; partial sums come in the order of
+    files and tasks.  This one is the same for any partitions: that of SQL which reads the log on one thread.
+    """
+    w = Window.partitionBy(*keys).orderBy("t", value).rowsBetween(Window.unboundedPreceding, 0)
+    rows = trace.withColumn("_sum", F.sum(value).over(w)).withColumn("_at", F.count(F.lit(1)).over(w))
+    return rows.groupBy(*keys).agg(F.max_by("_sum", "_at").alias("sum"), F.count(value).alias("n"), *others)
+
+
 def nearest_before(test: Column, value: Column, keys: Sequence[str], order: str = "t") -> Column:
     """value of the nearest earlier row of the key that passes test."""
     return F.last(F.when(test, value), ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(*BEFORE))

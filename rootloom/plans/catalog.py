@@ -375,7 +375,7 @@ def nearest_ratio(spark, sf):
 
 @query(f"WITH {EV}, w AS (SELECT run, addr AS key, sum(value) AS weight FROM ev GROUP BY ALL), a AS (SELECT * FROM w WHERE run = 'bad'), b AS (SELECT * FROM w WHERE run = 'good') SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NOT NULL AND b.key IS NOT NULL THEN round_even(abs(a.weight - b.weight), 0) ELSE round(coalesce(a.weight, b.weight), 4) END AS delta, CASE WHEN b.key IS NULL THEN 'left' WHEN a.key IS NULL THEN 'right' END AS only FROM a FULL JOIN b ON a.key = b.key")
 def group_match_diff(spark, sf):
-    w = trace(spark, sf).groupBy("run", F.col("addr").alias("key")).agg(F.sum("value").alias("weight"))
+    w = order.sums_in_order(trace(spark, sf), ["run", "addr"], "value").select("run", F.col("addr").alias("key"), F.col("sum").alias("weight"))
     return compare.changed_groups(w.filter("run = 'bad'"), w.filter("run = 'good'")).select("key", F.round("delta", 4).alias("delta"), "only")
 
 
