@@ -31,7 +31,8 @@ def _relations(spark, sf, run):
     tr = trace(spark, sf).filter(F.col("run") == run).withColumn("grp", (F.col("addr") % 4).cast("string"))
     big = F.avg((F.col("value") > 50).cast("double"))
     none = F.lit(None).cast("array<double>")
-    g = tr.groupBy("grp", F.col("tid").alias("insn")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("perc"), F.avg("t").alias("ts"), big.alias("prop"))
+    g = order.sums_in_order(tr, ["grp", "tid"], "value", F.count(F.lit(1)).alias("rows"), F.avg("t").alias("ts"), big.alias("prop"))
+    g = g.select("grp", F.col("tid").alias("insn"), F.col("rows").alias("n"), F.try_divide("sum", "n").alias("perc"), "ts", "prop")
     side = lambda ratio, prop: F.struct(ratio.cast("double").alias("ratio"), prop.alias("prop"), none.alias("v"), none.cast("array<long>").alias("n"), none.alias("wv"), none.cast("array<long>").alias("wn"))
     prop = F.when((F.col("insn") % 3 != 0) & (F.col("prop") > 0), F.col("prop"))
     return g.select("grp", "insn", F.col("insn").alias("key"), "perc", F.col("n").cast("double").alias("actual"), "ts", (F.col("insn") % 11 == 0).alias("duplicate"), side(F.col("n"), prop).alias("fwd"), side(F.col("insn"), F.lit(None).cast("double")).alias("bwd"))

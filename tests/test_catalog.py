@@ -77,3 +77,12 @@ def test_differences_of_a_half_do_not_hang_on_files(spark, tmp_path):
         events += [(datetime(2024, 1, day), "view", c / 100) for day, values in cents.items() for c in values]
     rng.shuffle(events)
     _same_for_any_files(spark, tmp_path, "group_match_diff", [(i, ts, 0, code, v) for i, (ts, code, v) in enumerate(events)])
+
+
+def test_equal_averages_rank_alike_for_any_files(spark, tmp_path):
+    """Threads of the same values in other orders: only the order of a sum tells their averages apart."""
+    rng = random.Random(6)
+    values = [4 * rng.randrange(1, 25) + rng.randrange(100) / 100 for _ in range(12)]
+    events = [(datetime(2024, 1, day), tid, v if day == 25 else v / 2 // 4 * 4 + 0.3) for tid in range(80) for day in (5, 25) for v in values[: 12 if day == 25 else 6]]
+    rng.shuffle(events)
+    _same_for_any_files(spark, tmp_path, "relation_report", [(i, ts, tid, "view", v) for i, (ts, tid, v) in enumerate(events)])
