@@ -3,8 +3,8 @@ shingles have a Jaccard similarity of at least 0.8.  They lie some 10 of 64 bits
 gives no selective keys.
 
 The search is a prefix join, exact for any order of the shingles: of two sets this similar, the least 11 percent of the
-smaller and the least 20 percent of the larger share a shingle.  Shingles that a sample shows to be common come last in
-the order, the commonest at its end, so common lines and passages are seldom in a prefix; the rest go by hash.  Pairs that share one, and whose
+smaller and the least 20 percent of the larger share a shingle.  The order is by how often a shingle's slot (the first bits of its
+hash) occurs in all texts, the commonest last, so common lines and passages are seldom in a prefix; within a slot by hash.  Pairs that share one, and whose
 sizes, places and whole prefixes allow the similarity, are verified on their whole sets.  A pair need only be found by
 the first shingle that it shares, so places count as if nothing before them were shared: a text of many copies' group
 with over 11 to 20 percent shingles of its own meets none of them.
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import checked, components, slices, stored
 
 WORDS, SIMILARITY = 5, 0.8
-#: Documents to find common shingles in (at least, and as a share), times a shingle is seen there to be common, and most that are listed.  These, BUCKET and HUBS are for speed: no pair depends on them.
-SAMPLE, SHARE, COMMON, LISTED = 20_000, 1 / 16, 4, 1_000_000
+#: Bits of a shingle by which its occurrences in all texts are counted.  This, BUCKET and HUBS are for speed: no pair depends on them.
+SLOT_BITS = 22
 BUCKET, HUBS = 16, 4
 
 
@@ -72,38 +72,70 @@ def most_shared(s: np.ndarray, rare_s: int, n_s: int, t: np.ndarray, rare_t: int
     return len(np.intersect1d(s, t, assume_unique=True)) + int(min(n_s - upto(s, rare_s), n_t - upto(t, rare_t)))
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that many of a sample of docs hold, and their rank from the rarest on."""
+def slot_counts(docs: DataFrame) -> np.ndarray:
+    """How many shingles of all docs (a text's repeats once) fall in each slot, the first SLOT_BITS bits of a shingle.
 
-    def read(batches):
+    A task holds one array of counts, whatever its rows; there are as many tasks as cores, so the arrays that are added up
+    do not grow with the table.
+    """
+    step = 1 << min(16, SLOT_BITS)
+
+    def count(batches):
+        n = np.zeros(1 << SLOT_BITS, np.uint32)
         for batch in (part for whole in batches for part in slices(whole)):
             found = [shingles(x) for x in batch.column("text").to_pylist()]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64())], ["h"])
+                slots, times = np.unique(slots_of(np.concatenate(found)), return_counts=True)
+                n[slots] += times.astype(np.uint32)
+        for k in range(0, len(n), step):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n[k : k + step].tobytes()], pa.binary())], ["k", "n"])
+
+    def add(part: pa.Table) -> pa.Table:
+        n = sum(np.frombuffer(v.as_buffer(), np.uint32).astype(np.int64) for v in part.column("n"))
+        return pa.table({"k": part.column("k")[:1], "n": pa.array([np.asarray(n, np.int64).tobytes()], pa.binary())})
+
+    schema, tasks = "k int, n binary", docs.sparkSession.sparkContext.defaultParallelism
+    rows = docs.select("text").coalesce(tasks).mapInArrow(count, schema).groupBy("k").applyInArrow(add, schema).collect()
+    n = np.zeros(1 << SLOT_BITS, np.int64)
+    for r in rows:
+        n[r["k"] : r["k"] + step] = np.frombuffer(r["n"], np.int64)
+    return n
+
+
+def slot_ranks(counts: np.ndarray) -> np.ndarray:
+    """The place of each slot by its count, the least first."""
+    ranks = np.empty(len(counts), np.uint32)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.uint32)
+    return ranks
+
+
+def slots_of(s: np.ndarray) -> np.ndarray:
+    return (s.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
 
-    share = min(1.0, max(SHARE, SAMPLE / max(1, docs.count())))
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
-    n = sample.mapInArrow(read, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
-    most = n.orderBy(F.desc("n"), "h").limit(LISTED).toPandas().sort_values(["n", "h"])["h"].to_numpy(np.int64)
-    order = np.argsort(most)
-    return most[order], order.astype(np.int64)
+def ordered(s: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The shingles s as sorted numbers, another for each, by the rank of their slots: it takes the slot's place in the bits."""
+    low = np.uint64(64 - SLOT_BITS)
+    key = (ranks[slots_of(s)].astype(np.uint64) << low) | (s.view(np.uint64) & np.uint64((1 << int(low)) - 1))
+    return np.sort((key ^ np.uint64(1 << 63)).view(np.int64))
 
 
 def prints(docs: DataFrame, similarity: float = SIMILARITY, fingerprint: Callable[[str | None], int] = lambda text: 0) -> DataFrame:
     """(doc_id, th, fp, node, n, rare, head): hash of the text, its fingerprint (a signed long), hash of its set of shingles, their number, and the prefix."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(common_shingles(docs))  # twice LISTED longs at most
+    shared = spark.sparkContext.broadcast(slot_ranks(slot_counts(docs)))  # an integer for each slot
+    none = np.zeros(0, np.int64)
 
     def read(batches):
         import xxhash
 
-        common, rank = shared.value
+        ranks = shared.value
         for batch in (part for whole in batches for part in slices(whole)):
             texts = batch.column("text").to_pylist()
             if not texts:
                 continue
             sets = [shingles(x) for x in texts]
-            heads, rare = zip(*[prefix(s, common, similarity, rank) for s in sets], strict=True)
+            heads, rare = zip(*[prefix(ordered(s, ranks), none, similarity) for s in sets], strict=True)
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             at = np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)
             head = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(heads), pa.int64()))

@@ -108,3 +108,27 @@ def test_ranked_prefixes_meet():
             (a, ra), (b, rb) = (near_copies.prefix(x, common, rank=rank) for x in (s, t))
             assert len(np.intersect1d(a, b))
             assert near_copies.most_shared(a, ra, len(s), b, rb, len(t)) >= len(np.intersect1d(s, t))
+
+
+def test_all_texts_are_counted(spark):
+    rng = np.random.default_rng(15)
+    texts = [None, "", "one two", *(" ".join(f"w{x}" for x in rng.integers(0, 20, 60)) for _ in range(50))]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], DOCS)
+    want = np.zeros(1 << near_copies.SLOT_BITS, np.int64)
+    for t in texts:
+        np.add.at(want, near_copies.slots_of(near_copies.shingles(t)), 1)
+    for parts in (1, 40):
+        assert (near_copies.slot_counts(df.repartition(parts)) == want).all()
+    s, ranks = near_copies.shingles(texts[-1]), near_copies.slot_ranks(want)
+    by = want[near_copies.slots_of(np.array(sorted(s, key=lambda x: ranks[near_copies.slots_of(np.array([x]))[0]])))]
+    assert (np.diff(by) >= 0).all() and len(np.unique(near_copies.ordered(s, ranks))) == len(s)
+
+
+def test_shared_passages_are_no_prefix(spark):
+    """Texts that share a passage, each with words of its own: their prefixes hold none of it, however few the texts."""
+    rng = np.random.default_rng(16)
+    word = lambda: f"w{rng.integers(0, 10**9)}"
+    passage = [word() for _ in range(20)]
+    df = spark.createDataFrame([(i, " ".join([word() for _ in range(20)] + passage), "s") for i in range(3)], DOCS)
+    heads = [set(r["head"]) for r in near_copies.prints(df).collect()]
+    assert all(heads) and not any(a & b for a, b in combinations(heads, 2))
