@@ -4,7 +4,8 @@ gives no selective keys.
 
 The search is a prefix join, exact for any order of the shingles: of two sets this similar, the least 11 percent of the
 smaller and the least 20 percent of the larger share a shingle.  The order is by how often a shingle's slot (the first bits of its
-hash) occurs in all texts, the commonest last, so common lines and passages are seldom in a prefix; within a slot by hash.  Pairs that share one, and whose
+hash) occurs in all texts, the commonest last, so common lines and passages are seldom in a prefix; counts of one level
+(less than a tenth apart) go by slot, and within a slot by hash.  Pairs that share one, and whose
 sizes, places and whole prefixes allow the similarity, are verified on their whole sets.  A pair need only be found by
 the first shingle that it shares, so places count as if nothing before them were shared: a text of many copies' group
 with over 11 to 20 percent shingles of its own meets none of them.
@@ -72,13 +73,19 @@ def most_shared(s: np.ndarray, rare_s: int, n_s: int, t: np.ndarray, rare_t: int
     return len(np.intersect1d(s, t, assume_unique=True)) + int(min(n_s - upto(s, rare_s), n_t - upto(t, rare_t)))
 
 
-def slot_counts(docs: DataFrame) -> np.ndarray:
+def count_levels(n: np.ndarray) -> np.ndarray:
+    """A byte for each count, in the order of the counts: each below 15 has its own, larger ones eight an octave."""
+    return np.minimum(8 * np.log2(n + 1.0), 255).astype(np.uint8)
+
+
+def slot_counts(docs: DataFrame, levels: bool = False) -> np.ndarray:
     """How many shingles of all docs (a text's repeats once) fall in each slot, the first SLOT_BITS bits of a shingle.
 
     A task holds one array of counts, whatever its rows; there are as many tasks as cores, so the arrays that are added up
-    do not grow with the table.
+    do not grow with the table.  levels: the counts' levels instead, an eighth of the bytes, so the driver never sees the counts.
     """
     step = 1 << min(16, SLOT_BITS)
+    kind = np.uint8 if levels else np.int64
 
     def count(batches):
         n = np.zeros(1 << SLOT_BITS, np.uint32)
@@ -91,21 +98,31 @@ def slot_counts(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n[k : k + step].tobytes()], pa.binary())], ["k", "n"])
 
     def add(part: pa.Table) -> pa.Table:
-        n = sum(np.frombuffer(v.as_buffer(), np.uint32).astype(np.int64) for v in part.column("n"))
-        return pa.table({"k": part.column("k")[:1], "n": pa.array([np.asarray(n, np.int64).tobytes()], pa.binary())})
+        n = np.asarray(sum(np.frombuffer(v.as_buffer(), np.uint32).astype(np.int64) for v in part.column("n")), np.int64)
+        return pa.table({"k": part.column("k")[:1], "n": pa.array([(count_levels(n) if levels else n).tobytes()], pa.binary())})
 
     schema, tasks = "k int, n binary", docs.sparkSession.sparkContext.defaultParallelism
     rows = docs.select("text").coalesce(tasks).mapInArrow(count, schema).groupBy("k").applyInArrow(add, schema).collect()
-    n = np.zeros(1 << SLOT_BITS, np.int64)
+    n = np.zeros(1 << SLOT_BITS, kind)
     for r in rows:
-        n[r["k"] : r["k"] + step] = np.frombuffer(r["n"], np.int64)
+        n[r["k"] : r["k"] + step] = np.frombuffer(r["n"], kind)
     return n
 
 
 def slot_ranks(counts: np.ndarray) -> np.ndarray:
-    """The place of each slot by its count, the least first."""
+    """The place of each slot by its count or level, the least first, equal ones by slot.
+
+    A block at a time: beside the ranks it takes little memory for levels.
+    """
+    if counts.dtype != np.uint8:
+        counts = np.unique(counts, return_inverse=True)[1]
+    parts, width = np.split(counts, range(1 << 16, len(counts), 1 << 16)), int(counts.max()) + 1
+    sizes = [np.bincount(p, minlength=width) for p in parts]
+    at = np.cumsum([0, *sum(sizes)])[:-1]
     ranks = np.empty(len(counts), np.uint32)
-    ranks[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.uint32)
+    for p, n, out in zip(parts, sizes, np.split(ranks, range(1 << 16, len(ranks), 1 << 16)), strict=True):
+        out[np.argsort(p, kind="stable")] = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(len(p))
+        at += n
     return ranks
 
 
@@ -123,13 +140,13 @@ def ordered(s: np.ndarray, ranks: np.ndarray) -> np.ndarray:
 def prints(docs: DataFrame, similarity: float = SIMILARITY, fingerprint: Callable[[str | None], int] = lambda text: 0) -> DataFrame:
     """(doc_id, th, fp, node, n, rare, head): hash of the text, its fingerprint (a signed long), hash of its set of shingles, their number, and the prefix."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(slot_ranks(slot_counts(docs)))  # an integer for each slot
+    shared = spark.sparkContext.broadcast(slot_counts(docs, levels=True))  # a byte for each slot
     none = np.zeros(0, np.int64)
 
     def read(batches):
         import xxhash
 
-        ranks = shared.value
+        ranks = slot_ranks(shared.value)
         for batch in (part for whole in batches for part in slices(whole)):
             texts = batch.column("text").to_pylist()
             if not texts:
@@ -143,7 +160,9 @@ def prints(docs: DataFrame, similarity: float = SIMILARITY, fingerprint: Callabl
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), fp, pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array(rare, pa.int32()), head], ["doc_id", "th", "fp", "node", "n", "rare", "head"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return stored(d.mapInArrow(read, "doc_id long, th long, fp long, node long, n int, rare int, head array<long>"), "shingle-prints")
+    found = stored(d.mapInArrow(read, "doc_id long, th long, fp long, node long, n int, rare int, head array<long>"), "shingle-prints")
+    shared.destroy()
+    return found
 
 
 def similar(pairs: DataFrame, found: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

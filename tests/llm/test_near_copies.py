@@ -132,3 +132,33 @@ def test_shared_passages_are_no_prefix(spark):
     df = spark.createDataFrame([(i, " ".join([word() for _ in range(20)] + passage), "s") for i in range(3)], DOCS)
     heads = [set(r["head"]) for r in near_copies.prints(df).collect()]
     assert all(heads) and not any(a & b for a, b in combinations(heads, 2))
+
+
+def test_driver_gets_a_byte_a_slot(spark, monkeypatch):
+    """What the driver collects and broadcasts to order the shingles: a byte for each slot, whatever the counts."""
+    df = spark.createDataFrame([(i, " ".join(f"w{j % (i + 2)}" for j in range(40)), "s") for i in range(30)], DOCS)
+    got, sent = [], []
+    collect, broadcast = type(df).collect, type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(df), "collect", lambda self: got.append(rows := collect(self)) or rows)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or broadcast(self, value))
+    found = near_copies.prints(df)
+    assert sum(len(x) for rows in got for r in rows for x in r if isinstance(x, (bytes, bytearray))) == 1 << near_copies.SLOT_BITS
+    assert [x.nbytes for x in sent] == [1 << near_copies.SLOT_BITS]
+    monkeypatch.undo()
+    assert found.count() == 30
+
+
+def test_levels_order_like_counts(spark):
+    counts = np.concatenate([np.arange(70_000), np.geomspace(10**5, 10**12, 500).astype(np.int64)])
+    levels = near_copies.count_levels(counts)
+    assert (np.diff(levels.astype(int)) >= 0).all() and len(np.unique(levels[:15])) == 15
+    same = [counts[levels == x] for x in range(200)]
+    assert all(x.max() <= 1.1 * x.min() for x in same if len(x))
+    mixed = np.random.default_rng(17).permutation(counts)
+    for values in (mixed, near_copies.count_levels(mixed)):
+        ranks = near_copies.slot_ranks(values)
+        assert (values[np.argsort(ranks)] == np.sort(values)).all() and len(np.unique(ranks)) == len(ranks)
+        assert (np.argsort(ranks) == np.argsort(values, kind="stable")).all()
+    rng = np.random.default_rng(18)
+    df = spark.createDataFrame([(i, " ".join(f"w{x}" for x in rng.integers(0, 3, 60)), "s") for i in range(50)], DOCS)
+    assert (near_copies.slot_counts(df, levels=True) == near_copies.count_levels(near_copies.slot_counts(df))).all()
