@@ -15,6 +15,7 @@ any other; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
@@ -31,7 +32,7 @@ from .common import row_map, stored
 CAPACITY, END = 1024, 2
 #: Fixed value: how byte-level BPE cuts a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces of one length that one task ranks, about.
+#: Pieces of one length that one task ranks, and pieces of any length that one task places, about.
 RANK_ROWS = 200_000
 #: Pairs of patterns that the search looks at, at most; None: until no change is left.
 SEARCH = None
@@ -50,15 +51,22 @@ def _tokenizer(path: str | None):
     Where the file's merges are in order of their ids, tiktoken runs the same vocabulary, several times as fast; texts
     that hold a special token's string, and other files, go through tokenizers itself.
     """
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    at = os.stat(path)
+    return _built(str(path), at.st_ino, at.st_mtime_ns, at.st_size)
+
+
+@lru_cache(maxsize=1)
+def _built(path: str, *version: int):
+    """The function of _tokenizer(): built once for all tasks of a Python worker, again if the file changes."""
     import json
 
     import tiktoken
     from tokenizers import Tokenizer
 
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path("byte_bpe_50k.json")
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
     special = {t["content"] for t in model["added_tokens"]}
@@ -288,6 +296,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     rank = F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = cut.withColumn("_r", rank).join(before, ["length", "_b"]).withColumn("_r", F.col("_r") - 1 + F.coalesce("_first", F.lit(0)))
     spark = docs.sparkSession
+    # many small partitions are placed and written by few tasks: Hadoop's local files start a process or more for each
+    ranked = ranked.coalesce(max(spark.sparkContext.defaultParallelism, -(-sum(counts.values()) // RANK_ROWS)))
     shared = spark.sparkContext.broadcast(table)  # places: a few for each length and pattern, none for a document
 
     def place(batches):

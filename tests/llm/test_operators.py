@@ -315,6 +315,34 @@ def test_packing_odd(odd):
     assert sum(r.piece == 0 for r in out) == odd.count()
 
 
+def test_packing_builds_a_tokenizer_once_a_worker(tmp_path):
+    import shutil
+
+    import public_tokenizers
+
+    own = tmp_path / "own.json"
+    shutil.copy(public_tokenizers.path("byte_bpe_50k.json"), own)
+    first = packing._tokenizer(str(own))
+    assert packing._tokenizer(str(own)) is first
+    own.write_text(own.read_text(encoding="utf-8") + "\n", encoding="utf-8")  # another file in its place is read again
+    assert packing._tokenizer(str(own)) is not first
+
+
+def test_packing_writes_few_files_for_small_partitions(spark, docs):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(held, ("60", "false"), strict=True):
+            spark.conf.set(k, v)
+        packed = packing.pack(docs)
+        assert packed.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        out = packed.collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    check_packing(docs, out)
+    assert Counter(tuple(r)[:5] for r in out) == Counter(tuple(r) for r in packing.pieces(docs).collect())
+
+
 def test_local_search_empties_bins():
     p = packing.Packing(10, Counter({(6, 3): 2, (7, 1): 2}))  # 6+3, 7+1 -> 7+3, 6+1 ... no bin less; squares rise
     q = packing.local_search(p)
